@@ -53,3 +53,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id", max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """Semi or anti join of wide rows with ids (a written table of one long column).
+
+    While the ids take at most max_broadcast bytes they travel to the rows, which then aren't shuffled; beyond
+    that Spark shuffles both sides.
+    """
+    small = 16 * ids.count() <= max_broadcast
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, how)
