@@ -34,7 +34,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def terms(text: Column) -> Column:
     """Words in order; an empty string may stand first and last, and is never a word of a phrase."""
-    return F.split(F.translate(text, UPPER, LOWER), DELIMITERS)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), DELIMITERS)
+
+
+def word_count(text: Column) -> Column:
+    """Number of words; the case of letters makes no difference to it."""
+    parts = F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    edges = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.coalesce(F.size(parts) - edges, F.lit(0)).cast("long")
 
 
 def phrases(items: DataFrame, size: int = PHRASE, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -145,7 +153,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = PHRASE) -> Data
     of_items = places.select("doc_id", "phrase_id").distinct().join(owned.select("phrase_id", "item_id"), "phrase_id").select("doc_id", "item_id").distinct()
     listed = of_items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
     found = hit.withColumnRenamed("doc_id", "hit_id").join(listed.withColumnRenamed("doc_id", "list_id"), F.col("hit_id").eqNullSafe(F.col("list_id")))
-    words = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
+    words = docs.select("doc_id", word_count(F.col("text")).alias("n_words"))
     out = words.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
