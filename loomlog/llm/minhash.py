@@ -6,11 +6,12 @@ as they vary against each other the estimate has less variance than 128 independ
 values, each from 4 permutations, make candidates: a pair at J = 0.75 shares no band with probability 5e-6.
 
 Documents with one shingle set are one class. Within a band's bucket classes are not paired with each
-other: all are compared with pivots, the least first. Links are confirmed on full sets of shingles, and
-components follow. A bucket is done when the classes in it that haven't been pivots are in one component,
-for then no comparison left could join components; until then other pivots follow (in small buckets, all
-pairs across components). So no link that the bands find is lost, and groups of thousands of copies cost a
-comparison each, not one a pair.
+other: each is compared with the bucket's least one, links are confirmed on full sets of shingles, and
+components follow. A bucket in one component is done, as no further link could change components. In the
+others comparisons across components are still open: small buckets make them as pairs; of large ones all
+classes outside the bucket's largest component are a query set, which goes to the bucket's classes in blocks
+of bounded size and is compared by an inverted index of its shingles, without a row for a pair. So no link that
+the bands find is lost to a cap, and groups of thousands of copies cost one comparison each.
 
 Nulls and odd rows: a null text, or one without words, has an empty set and is linked with nothing; its
 component is its own doc_id. Rows that share a doc_id are one node with all their links, each with its own
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, table, written
+from .common import BROADCAST_BYTES, by_ids, table, written
 from .components import components
 from .words import block_windows, mixed, windows, word_hashes
 
@@ -39,8 +40,6 @@ PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 BLOCK_WORDS = 20_000
 #: Buckets of up to so many classes compare all pairs across components.
 SMALL_BUCKET = 24
-#: New pivots a bucket and round.
-PIVOTS = 8
 
 
 def shingle_hashes(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -176,27 +175,78 @@ def links_of_classes(members: DataFrame, texts: DataFrame, k: int, percent: int)
     first = members.select(F.col("rep").alias("u"), F.col("pivot.rep").alias("v"), F.col("n").alias("a"), F.col("pivot.n").alias("b"))
     tried = written(first.where(f"u <> v AND {close}").select("u", "v").distinct(), "pairs")
     links = written(similar(tried, texts, k, percent), "links")
-    left = members.where("rep <> pivot.rep").select("band", "rep", "n")
-    while True:
-        found = components(links)
-        now = left.join(found, left.rep == found.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("label"))
-        mixed_bands = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
-        left = written(now.join(mixed_bands, "band"), "left")
-        if left.isEmpty():
-            return links
-        small, large = left.where(F.col("size") <= SMALL_BUCKET), left.where(F.col("size") > SMALL_BUCKET)
-        groups = large.groupBy("band", "label").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("p"))
-        rare = groups.withColumn("at", F.row_number().over(Window.partitionBy("band").orderBy("members", "label"))).where(F.col("at") <= PIVOTS)
-        pivots = written(rare.select("band", F.col("p.rep").alias("v"), F.col("p.n").alias("b"), F.col("label").alias("label_v")), "pivots")
-        others = small.select("band", F.col("rep").alias("v"), F.col("n").alias("b"), F.col("label").alias("label_v"))
-        pairs = small.join(others, "band").where("rep > v AND label <> label_v").unionByName(large.join(pivots, "band").where("label <> label_v"))
-        pairs = pairs.select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"), F.col("n").alias("a"), "b").where(close).select("u", "v").distinct()
-        done = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        new = written(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            links = written(links.union(similar(new, texts, k, percent)), "links")
-            tried = written(tried.union(new), "pairs")
-        left = large.join(pivots.select("band", F.col("v").alias("rep")), ["band", "rep"], "left_anti").select("band", "rep", "n")
+    found = components(links)
+    now = members.where("rep <> pivot.rep").join(found, F.col("rep") == found.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    labels = written(now, "labels")
+    mixed_bands = labels.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+    left = written(labels.join(mixed_bands, "band"), "mixed")
+    small, large = left.where(F.col("size") <= SMALL_BUCKET), left.where(F.col("size") > SMALL_BUCKET)
+    others = small.select("band", F.col("rep").alias("v"), F.col("n").alias("b"), F.col("label").alias("label_v"))
+    pairs = small.withColumnRenamed("n", "a").join(others, "band").where(f"rep > v AND label <> label_v AND {close}")
+    more = similar(written(pairs.select(F.col("rep").alias("u"), "v").distinct(), "pairs"), texts, k, percent)
+    if not large.isEmpty():
+        more = more.union(similar(written(across(large, texts, k, percent), "pairs"), texts, k, percent))
+    return written(links.union(more), "links")
+
+
+def across(large: DataFrame, texts: DataFrame, k: int, percent: int, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """Links (u, v) of classes of different components that share a bucket, at least one for each class u outside
+    the bucket's largest component and component of v. large: band, rep, n, label."""
+    sizes = large.groupBy("band", "label").agg(F.count("*").alias("members"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("members", "label"))["label"].alias("main"))
+    outside = large.join(largest, "band").where("label <> main").select("rep").distinct()
+    rows = large.groupBy("rep").agg(F.max("label").alias("label"), F.collect_set("band").alias("bands"))
+    members = written(rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "large")
+    queries = written(members.join(outside, "rep", "left_semi"), "queries")
+    total = queries.agg(F.sum(F.octet_length("text") + 400)).first()[0] or 0
+    blocks, out = max(1, -(-2 * total // max_broadcast)), None
+    for block in range(blocks):
+        # bounded by max_broadcast, and the next block is another pass over these members
+        shared = large.sparkSession.sparkContext.broadcast([tuple(r) for r in queries.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == block).select("rep", "label", "bands", "text").collect()])
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            reps, labels = (np.array([q[i] for q in asked], np.int64) for i in range(2))
+            sets = [shingle_set(q[3], k) for q in asked]
+            size = np.array([len(x) for x in sets], np.int64)
+            shingles = np.concatenate([*sets, np.empty(0, np.uint64)])
+            owners = np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owners = shingles[order], owners[order]
+            by_band: dict[int, list[int]] = {}
+            for i, q in enumerate(asked):
+                for band in q[2]:
+                    by_band.setdefault(band, []).append(i)
+            seen: set[tuple[int, int]] = set()
+            for batch in batches:
+                us, vs = [], []
+                for rep, label, bands, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+                    rep, label = rep.as_py(), label.as_py()
+                    near = np.zeros(len(reps), bool)
+                    for band in bands.as_py():
+                        near[by_band.get(band, [])] = True
+                    near &= labels != label
+                    if not near.any():
+                        continue
+                    own = shingle_set(text.as_py(), k)
+                    lo, hi = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+                    long = hi - lo
+                    at = np.repeat(hi - np.cumsum(long), long) + np.arange(long.sum())
+                    common = np.bincount(owners[at], minlength=len(reps))
+                    for i in np.flatnonzero(near & (100 * common >= percent * (size + len(own) - common))):
+                        if (int(reps[i]), label) not in seen:
+                            seen.add((int(reps[i]), label))
+                            us.append(int(reps[i]))
+                            vs.append(rep)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+        found = members.select("rep", "label", "bands", "text").mapInArrow(compare, "u long, v long")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def shingle_set(text: str, k: int) -> np.ndarray:
+    return np.unique(shingle_hashes([text.encode("utf-8", "surrogatepass")], k)[0])
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +256,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op8_near_duplicates": r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
   ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
