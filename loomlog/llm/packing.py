@@ -22,7 +22,6 @@ empty table gives an empty result. Very long texts are tokenised whole, then cut
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
@@ -41,9 +40,8 @@ LARGE = 1 / 8
 #: Numbers of groups to try.
 GROUPS = (64, 256, 2048)
 #: Chunks that a worker remembers; beyond it starts anew, which changes no result.
-CACHE = 500_000
+CACHE = 900_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CUT = re.compile(r"[ \t\n\r]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -64,6 +62,9 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @staticmethod
     def split(part: str) -> tuple[str, str]:
@@ -71,8 +72,20 @@ class Ids:
         word, mark = (part[:-1], part[-1]) if part[-1:] in (".", ",") and part[:-1].isalpha() else (part, "")
         return word.lower() if word.isascii() and word.isalpha() else word, mark
 
+    def learn_words(self, words: list[str]) -> None:
+        """Ids of words of letters alone, encoded together: each ends with its one token that ends a word."""
+        for k in range(0, len(words), 2048):
+            block = words[k : k + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(block):  # else there are letters that the tokenizer doesn't take for such
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(block, (4 * ends).tolist(), strict=True):
+                    self.known[w] = raw[at:end]
+                    at = end
+
     def __call__(self, text: str) -> bytes:
-        parts = CUT.split(text)
+        parts = text.replace("\n", " ").split(" ")
         try:
             return b"".join([self.known[p] for p in parts])
         except KeyError:
@@ -80,22 +93,32 @@ class Ids:
         if len(self.known) > CACHE:
             self.known.clear()
         forms = {p: self.split(p) for p in parts if p not in self.known}
-        missing = list({x for pair in forms.values() for x in pair if x not in self.known})
-        for k in range(0, len(missing), 4096):
-            block = missing[k : k + 4096]
-            for p, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        missing = {x for pair in forms.values() for x in pair if x not in self.known}
+        words = [x for x in missing if x.isalpha()]
+        self.learn_words(words)
+        rest = list(missing.difference(self.known))
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
         self.known |= {p: self.known[a] + self.known[b] for p, (a, b) in forms.items()}
         return b"".join([self.known[p] for p in parts])
 
 
+#: Of a worker process, so that one task's words help the next.
+_IDS: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    if path not in _IDS:
+        _IDS[path] = Ids(path)
+    return _IDS[path]
+
+
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces of docs (doc_id, text): ids and then end_id, cut every capacity ids."""
-    made: dict[str, Ids] = {}
     last = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = made.get(path) or made.setdefault(path, Ids(path))
+        ids = ids_of(path)
         step = 4 * capacity
         for batch in batches:
             rows = []
