@@ -18,7 +18,9 @@ An empty table gives an empty result. Whole texts are counted, of any length.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ KEY_BITS = 22
 #: Words and n-grams that a task holds before it passes its counts on.
 HELD_WORDS, HELD_GRAMS = 300_000, 1_000_000
 #: Scores of words that a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 #: Half the band, in scaled median distances; and the least distance, in units of log perplexity.
 BAND, FLOOR = 10.0, 0.1
 #: A text of n words has a band wider by the factor sqrt(1 + SHORT / n).
@@ -47,14 +49,16 @@ SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 BLOCK = 2_000_000
 
 
-def grams_of(words: Counter, order: int) -> Iterator[tuple[str, int]]:
-    """N-grams of space + word + line break, of the order, and shorter ones at the start, with counts."""
+def add_grams(words: Counter, order: int, to: dict[str, int]) -> None:
+    """Add n-grams of space + word + line break, of the order, and shorter ones at the start, with counts."""
+    get = to.get
     for word, n in words.items():
-        s = f" {word}\n"
+        s = f" {word.decode('utf-8', 'surrogatepass')}\n"
         for k in range(2, min(order, len(s) + 1)):
-            yield s[:k], n
+            to[s[:k]] = get(s[:k], 0) + n
         for i in range(len(s) - order + 1):
-            yield s[i : i + order], n
+            g = s[i : i + order]
+            to[g] = get(g, 0) + n
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -63,13 +67,11 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
-        grams: dict[str, Counter] = defaultdict(Counter)
+        grams: dict[str, dict[str, int]] = defaultdict(dict)
 
         def to_grams() -> None:
             for lang, c in words.items():
-                own = grams[lang]
-                for g, n in grams_of(c, order):
-                    own[g] += n
+                add_grams(c, order, grams[lang])
             words.clear()
 
         def flush() -> pa.RecordBatch:
@@ -81,7 +83,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text = text.as_py()
                 if text:
-                    words[lang or ""].update(w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split())
+                    words[lang or ""].update(text.encode("utf-8", "surrogatepass").split())
                     if sum(map(len, words.values())) > HELD_WORDS:
                         to_grams()
                         if sum(map(len, grams.values())) > HELD_GRAMS:
@@ -94,7 +96,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """kind (p or gamma), lang, gram, value: interpolated probabilities of all n-grams, weights of all contexts.
+    """gamma (boolean), lang, gram, value: interpolated probabilities of all n-grams, weights of all contexts.
 
     counts: lang, gram, n, a written table. The gamma of the empty context is the probability of an unknown
     character.
@@ -127,7 +129,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             gamma = contexts.select("lang", "context", "gamma")
         p = written(p, "probabilities")
         lower = p.select("lang", F.col("gram").alias("rest"), F.col("p").alias("q"))
-        rows = p.select(F.lit("p").alias("kind"), "lang", "gram", F.col("p").alias("value")).union(gamma.select(F.lit("gamma"), "lang", "context", "gamma"))
+        rows = p.select(F.lit(False).alias("gamma"), "lang", "gram", F.col("p").alias("value")).union(gamma.select(F.lit(True), "lang", "context", "gamma"))
         out = rows if out is None else out.union(rows)
     return out
 
@@ -136,25 +138,30 @@ def code_points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def gram_keys(points: np.ndarray, k: int, lang: str) -> np.ndarray:
-    """Keys of the k-grams that end at positions k - 1, ... of points; of the empty one for k = 0."""
-    seed = np.uint64(int.from_bytes(lang.encode()[:64].ljust(1, b"\0"), "little") % (1 << 64) * 31 + k & 0xFFFFFFFFFFFFFFFF)
-    if k == 0:
-        return mixed(np.array([seed], np.uint64)) & np.uint64((1 << KEY_BITS) - 1)
-    out = np.full(max(0, len(points) - k + 1), seed, np.uint64)
-    for j in range(k):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + points[j : len(points) - k + 1 + j])
-    return (out & np.uint64((1 << KEY_BITS) - 1)) | np.uint64(k << KEY_BITS)
+def gram_hashes(points: np.ndarray, lang: str, order: int) -> list[np.ndarray]:
+    """For each k up to the order a hash of the k-gram that ends at each position of points (the first k - 1 are meaningless)."""
+    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    out = [np.full(len(points), seed, np.uint64)]
+    for _ in range(order):
+        before = np.empty_like(out[-1])
+        before[1:], before[:1] = out[-1][:-1], seed
+        out.append(mixed(before * np.uint64(0x9E3779B97F4A7C15) + points))
+    return out
+
+
+def keys_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    return (mixed(hashes + np.uint64(k)) & np.uint64((1 << KEY_BITS) - 1)) | np.uint64(k << KEY_BITS)
 
 
 class Model:
     """Sorted arrays of keys, with a value each."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: pa.Table):
         self.arrays = {}
-        for kind in ("p", "gamma"):
-            own = rows[rows["kind"] == kind].sort_values("key")
-            self.arrays[kind] = own["key"].to_numpy(np.uint32), own["value"].to_numpy(np.float32)
+        gamma, key, value = (rows.column(c).to_numpy() for c in ("gamma", "key", "value"))
+        for kind, own in (("p", np.flatnonzero(~gamma)), ("gamma", np.flatnonzero(gamma))):
+            own = own[np.argsort(key[own])]
+            self.arrays[kind] = key[own].astype(np.uint32), value[own].astype(np.float32)
 
     def find(self, kind: str, keys: np.ndarray) -> np.ndarray:
         """Values of keys; NaN where there is none."""
@@ -171,15 +178,20 @@ class Model:
         points = code_points("".join(f" {w}\n" for w in words))
         starts = np.flatnonzero(points == 32)
         since = np.arange(len(points)) - np.repeat(starts, np.diff(np.append(starts, len(points))))
-        unknown = self.find("gamma", gram_keys(points, 0, lang))[0]
-        p = np.full(len(points), 1e-6 if np.isnan(unknown) else unknown)
-        gamma = None
-        for k in range(1, order + 1):
-            at = np.flatnonzero(since >= max(1, k - 1))  # within one word; the space itself is given
-            own = self.find("p", gram_keys(points, k, lang)[at - k + 1])
-            weight = 1.0 if gamma is None else np.nan_to_num(gamma[at - k + 1], nan=1.0)
-            p[at] = np.where(np.isnan(own), p[at] * weight, own)
-            gamma = self.find("gamma", gram_keys(points, k, lang))
+        hashes = gram_hashes(points, lang, order)
+        p, weight = np.ones(len(points)), np.ones(len(points))
+        open_ = np.flatnonzero(since > 0)  # the space itself is given
+        for k in range(order, 0, -1):
+            fits = since[open_] >= k - 1  # the gram lies within one word
+            at = open_[fits]
+            own = self.find("p", keys_of(hashes[k][at], k))
+            p[at] = weight[at] * np.nan_to_num(own, nan=1.0)
+            missed = at[np.isnan(own)]
+            if k > 1:
+                weight[missed] *= np.nan_to_num(self.find("gamma", keys_of(hashes[k - 1][missed - 1], k - 1)), nan=1.0)
+            open_ = np.sort(np.concatenate((open_[~fits], missed)))
+        unknown = self.find("gamma", keys_of(hashes[0][:1], 0))[0]
+        p[open_] = weight[open_] * (1e-6 if np.isnan(unknown) else unknown)
         p[starts] = 1.0
         return np.add.reduceat(np.log(p), starts)
 
@@ -195,22 +207,34 @@ def trained(docs: DataFrame, order: int = ORDER) -> Model:
             langs = b["lang"].to_numpy()
             for k, lang in sorted(set(zip(lengths.tolist(), langs.tolist(), strict=True))):
                 at = np.flatnonzero((lengths == k) & (langs == lang))
-                keys[at] = gram_keys(code_points("".join(b["gram"].iloc[at])), k, lang)[:: max(k, 1)] if k else gram_keys(np.empty(0, np.uint64), 0, lang)[0]
-            yield pd.DataFrame({"kind": b["kind"], "key": keys, "value": b["value"]})
+                hashes = gram_hashes(code_points("".join(b["gram"].iloc[at]) or " "), lang, k)[k]
+                keys[at] = keys_of(hashes[max(k, 1) - 1 :: max(k, 1)], k)
+            yield pd.DataFrame({"gamma": b["gamma"], "key": keys, "value": b["value"]})
 
-    rows = table_.mapInPandas(hashed, "kind string, key long, value double").groupBy("kind", "key").agg(F.max("value").cast("float").alias("value"))
-    return Model(rows.toPandas())
+    rows = table_.mapInPandas(hashed, "gamma boolean, key int, value float").groupBy("gamma", "key").agg(F.max("value").alias("value"))
+    return Model(rows.toArrow())
 
 
 MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
+#: Of a worker process: a model's tag, and scores of words by language, so that one task's words help the next.
+_SCORES: dict[str, dict[str, dict[bytes, float]]] = {}
+
+
+def known_scores(tag: str) -> dict[str, dict[bytes, float]]:
+    if tag not in _SCORES:
+        _SCORES.clear()
+        _SCORES[tag] = defaultdict(dict)
+    return _SCORES[tag]
+
+
 def measured(docs: DataFrame, model: Model) -> DataFrame:
     """MEASURES of docs (doc_id, text, lang); score: log of the perplexity for a word, null without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, float]] = defaultdict(dict)
+        known = known_scores(tag)
         for batch in batches:
             ids, langs, at = batch.column(0).to_pylist(), [x or "" for x in batch.column(2).to_pylist()], 0
             while at < len(ids):
@@ -224,9 +248,8 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                 words = [t.split() for t in raw]
                 here = langs[at - len(raw) : at]
                 missing: dict[str, set[bytes]] = defaultdict(set)
-                for w, lang in zip(words, here, strict=True):
-                    if len(known[lang]) > CACHE:
-                        known[lang].clear()
+                if sum(map(len, known.values())) > CACHE:
+                    known.clear()
                 for w, lang in zip(words, here, strict=True):
                     missing[lang].update(x for x in w if x not in known[lang])
                 for lang, new in missing.items():
