@@ -63,3 +63,15 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "do
     """
     small = 16 * ids.count() <= max_broadcast
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, how)
+
+
+#: What a Python worker keeps from one task to the next: one owner's things at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(owner: str, make) -> object:
+    """make(), once in a worker process for as long as no other owner asks, so memory holds one cache at most."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]

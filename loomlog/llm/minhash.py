@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_ids, table, written
+from .common import BROADCAST_BYTES, by_ids, kept_in_worker, table, written
 from .components import components
 from .words import block_windows, mixed, windows, word_hashes
 
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_key (binary, null without shingles) and bands of docs (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("signatures", dict)  # lets go of what another operator has kept
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             at = 0

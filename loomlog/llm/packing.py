@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import kept_in_worker, table, written
 
 CAPACITY = 2048
 #: Pieces longer than this part of a sequence are large.
@@ -40,7 +40,7 @@ LARGE = 1 / 8
 #: Numbers of groups to try.
 GROUPS = (64, 256, 2048)
 #: Chunks that a worker remembers; beyond it starts anew, which changes no result.
-CACHE = 900_000
+CACHE = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -103,22 +103,12 @@ class Ids:
         return b"".join([self.known[p] for p in parts])
 
 
-#: Of a worker process, so that one task's words help the next.
-_IDS: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path]
-
-
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces of docs (doc_id, text): ids and then end_id, cut every capacity ids."""
     last = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(path)
+        ids = kept_in_worker(f"ids {path}", lambda: Ids(path))
         step = 4 * capacity
         for batch in batches:
             rows = []

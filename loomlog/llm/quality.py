@@ -30,23 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, table, written
+from .common import BROADCAST_BYTES, kept_in_worker, table, written
 from .words import block_windows, mixed, windows, word_hashes
 
 ORDER = 4
 KEY_BITS = 22
 #: Words and n-grams that a task holds before it passes its counts on.
-HELD_WORDS, HELD_GRAMS = 300_000, 1_000_000
+HELD_WORDS, HELD_GRAMS = 200_000, 400_000
 #: Scores of words that a worker remembers.
-CACHE = 600_000
+CACHE = 400_000
 #: Half the band, in scaled median distances; and the least distance, in units of log perplexity.
 BAND, FLOOR = 10.0, 0.1
 #: A text of n words has a band wider by the factor sqrt(1 + SHORT / n).
 SHORT = 100
 REPEAT_WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
+#: Words that are scored together.
+STEP = 10_000
 #: Text bytes that are handled together.
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 
 def add_grams(words: Counter, order: int, to: dict[str, int]) -> None:
@@ -66,6 +68,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     names = ["lang", "gram", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("counts", dict)
         words: dict[str, Counter] = defaultdict(Counter)
         grams: dict[str, dict[str, int]] = defaultdict(dict)
 
@@ -218,23 +221,12 @@ def trained(docs: DataFrame, order: int = ORDER) -> Model:
 MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
-#: Of a worker process: a model's tag, and scores of words by language, so that one task's words help the next.
-_SCORES: dict[str, dict[str, dict[bytes, float]]] = {}
-
-
-def known_scores(tag: str) -> dict[str, dict[bytes, float]]:
-    if tag not in _SCORES:
-        _SCORES.clear()
-        _SCORES[tag] = defaultdict(dict)
-    return _SCORES[tag]
-
-
 def measured(docs: DataFrame, model: Model) -> DataFrame:
     """MEASURES of docs (doc_id, text, lang); score: log of the perplexity for a word, null without words."""
     shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_scores(tag)
+        known = kept_in_worker(f"scores {tag}", lambda: defaultdict(dict))
         for batch in batches:
             ids, langs, at = batch.column(0).to_pylist(), [x or "" for x in batch.column(2).to_pylist()], 0
             while at < len(ids):
@@ -254,7 +246,9 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                     missing[lang].update(x for x in w if x not in known[lang])
                 for lang, new in missing.items():
                     listed = sorted(new)
-                    known[lang].update(zip(listed, shared.value.scores([x.decode("utf-8", "surrogatepass") for x in listed], lang).tolist(), strict=True))
+                    for k in range(0, len(listed), STEP):
+                        part = listed[k : k + STEP]
+                        known[lang].update(zip(part, shared.value.scores([x.decode("utf-8", "surrogatepass") for x in part], lang).tolist(), strict=True))
                 spaces = [len(t) - len(t.translate(None, SPACE)) for t in raw]
                 word_chars = [c - s for c, s in zip(chars, spaces, strict=True)]
                 lines = [[x for x in t.split(b"\n") if x.strip()] for t in raw]
