@@ -108,6 +108,12 @@ def packed(payload: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(blocks, pa.int64()), pa.array(segments, pa.int64()), pa.array(data, pa.binary())], ["block", "segment", "payload"])
 
 
+def stretches(numbers: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of the stretches of equal numbers."""
+    cuts = [*np.flatnonzero(np.diff(numbers, prepend=-1)).tolist(), len(numbers)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def sketch(rows: pa.Table, s: Shape) -> pa.Table:
     """A block's sketch: for each segment the occupied cells, and for each whether it counts 2 or more."""
     press = zstandard.ZstdCompressor(level=1)
@@ -117,8 +123,7 @@ def sketch(rows: pa.Table, s: Shape) -> pa.Table:
     for row in range(DEPTH):
         cell, count = np.unique(cells(block.first, row, s.cell_bits), return_counts=True)
         segment = (cell >> np.uint64(CELL_BITS)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(segment, prepend=-1)) if len(segment) else []
-        for a, b in zip(cuts, [*cuts[1:], len(segment)], strict=True):
+        for a, b in stretches(segment):
             inner = coded(cell[a:b] & np.uint64((1 << CELL_BITS) - 1))
             out.append((number, (row << 40) + int(segment[a]), press.compress(inner + np.packbits(count[a:b] > 1).tobytes())))
     return packed(out)
@@ -162,8 +167,7 @@ def estimated(rows: pa.Table, bits: pa.Table, s: Shape) -> pa.Table:
     which = np.flatnonzero(repeated)
     a, b, _, _ = keys_of(block, which)
     segment = (a >> np.uint64(64 - s.key_bits)).astype(np.int64) if s.key_bits else np.zeros(len(a), np.int64)
-    cuts = np.flatnonzero(np.diff(segment, prepend=-1)) if len(a) else []
-    out = [(number, int(segment[x]), a[x:y].tobytes() + b[x:y].tobytes()) for x, y in zip(cuts, [*cuts[1:], len(a)], strict=True)]
+    out = [(number, int(segment[x]), a[x:y].tobytes() + b[x:y].tobytes()) for x, y in stretches(segment)]
     return packed([*out, (number, -1 - number, press.compress(np.packbits(repeated).tobytes()))])
 
 
