@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,19 @@ from pyspark.sql import functions as F
 
 #: Largest side that an operator broadcasts by itself; beyond it each operator has another way.
 BROADCAST_BYTES = 16 * 1024 * 1024
-#: Text bytes that one block, the unit of grouped Python work, is planned to hold.
-BLOCK_BYTES = 12 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (or one row), so that Python workers hold little at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"[bB]$", "", spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by Spark's reader only, so any store that Spark reads will do."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +42,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     The files outlive lost executors. They stay until the shared folder is emptied.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -41,6 +50,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def text_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows."""
+    bounded_batches(df.sparkSession)
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import bounded_batches, fresh, table
 
 #: A formula: True (no condition), a trigram, or ("and" | "or", frozenset of formulas).
 Query = bool | str | tuple
@@ -233,6 +233,7 @@ def scan(df: DataFrame, rules: list[SecretRule], text: str = "text", out: str =
     """df with a column of spans (array of structs kind, start, end by start, then the rules' order) and, if
     redacted is given, one of the text with each span (overlapping ones together) replaced by ``[SECRET]``; an
     existing column of that name is replaced. A null text has no spans and stays null. No shuffle."""
+    bounded_batches(df.sparkSession)
     names = [r.kind for r in rules]
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kind = T.StructType([T.StructField("spans", span), T.StructField("redacted", T.StringType())])
