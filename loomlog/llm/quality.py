@@ -1,8 +1,9 @@
 """Quality rules: counts of each text, and an n-gram language model with perplexity bands for each language.
 
-The model is a modified Kneser-Ney model of the characters of words, one for each language. Spark counts the
-n-grams of all documents (words are counted first within a task, then their n-grams, then the sums over all
-tasks), continuation counts, discounts and back-off weights come from these counts by joins, and the
+The model is a modified Kneser-Ney model of the characters of words, one for all languages, so that a passage
+in another language than the document's is no surprise to it. Spark counts the n-grams of all documents (words
+are counted first within a task, then their n-grams, then the sums over all tasks), continuation counts and
+back-off weights come from these counts by joins, discounts from five sums for each order, and the
 probabilities end in sorted arrays of hashes: 22 bits for each order, so that however large the corpus is, the
 arrays take at most ORDER * 2**22 * 2 entries of 8 bytes (256 MB; a few MB for four languages), and travel to
 the workers. Hashes that meet share the larger value.
@@ -18,10 +19,9 @@ An empty table gives an empty result. Whole texts are counted, of any length.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +35,13 @@ from .words import block_windows, mixed, windows, word_hashes
 
 ORDER = 4
 KEY_BITS = 22
+SEED = np.uint64(0x51ED270B7F0A1C35)
 #: Words and n-grams that a task holds before it passes its counts on.
 HELD_WORDS, HELD_GRAMS = 200_000, 400_000
 #: Scores of words that a worker remembers.
 CACHE = 400_000
 #: Half the band, in scaled median distances; and the least distance, in units of log perplexity.
-BAND, FLOOR = 10.0, 0.1
+BAND, FLOOR = 8.0, 0.1
 #: A text of n words has a band wider by the factor sqrt(1 + SHORT / n).
 SHORT = 100
 REPEAT_WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -64,75 +65,71 @@ def add_grams(words: Counter, order: int, to: dict[str, int]) -> None:
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram, n over all documents (text, lang)."""
-    names = ["lang", "gram", "n"]
+    """gram, n over all documents (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_in_worker("counts", dict)
-        words: dict[str, Counter] = defaultdict(Counter)
-        grams: dict[str, dict[str, int]] = defaultdict(dict)
-
-        def to_grams() -> None:
-            for lang, c in words.items():
-                add_grams(c, order, grams[lang])
-            words.clear()
+        words: Counter = Counter()
+        grams: dict[str, int] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, g, n) for lang, c in grams.items() for g, n in c.items()]
+            out = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
             grams.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names)
+            return out
 
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0):
                 text = text.as_py()
                 if text:
-                    words[lang or ""].update(text.encode("utf-8", "surrogatepass").split())
-                    if sum(map(len, words.values())) > HELD_WORDS:
-                        to_grams()
-                        if sum(map(len, grams.values())) > HELD_GRAMS:
+                    words.update(text.encode("utf-8", "surrogatepass").split())
+                    if len(words) > HELD_WORDS:
+                        add_grams(words, order, grams)
+                        words.clear()
+                        if len(grams) > HELD_GRAMS:
                             yield flush()
-        to_grams()
+        add_grams(words, order, grams)
         yield flush()
 
-    partial = docs.select("text", "lang").mapInArrow(count, "lang string, gram string, n long")
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What n-grams counted once, twice and more often lose; n1 to n4: how many are counted once to four times."""
+    n, out = (0, n1, n2, n3, n4), []
+    for i in (1, 2, 3):
+        value = i - (i + 1) * n1 / (n1 + 2 * n2) * n[i + 1] / n[i] if n1 and n[i] else 0.0
+        out.append(value if 0 < value < i else 0.5 + 0.25 * (i - 1))  # else too few counts to tell
+    return out
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """gamma (boolean), lang, gram, value: interpolated probabilities of all n-grams, weights of all contexts.
+    """gamma (boolean), gram, value: interpolated probabilities of all n-grams, weights of all contexts.
 
-    counts: lang, gram, n, a written table. The gamma of the empty context is the probability of an unknown
+    counts: gram, n, a written table. The gamma of the empty context is the probability of an unknown
     character.
     """
-    levels: dict[int, DataFrame] = {order: counts.where(F.length("gram") == order).select("lang", "gram", F.col("n").alias("c"))}
+    levels: dict[int, DataFrame] = {order: counts.where(F.length("gram") == order).select("gram", F.col("n").alias("c"))}
     for k in range(order - 1, 0, -1):
-        seen = levels[k + 1].groupBy("lang", F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
-        first = counts.where((F.length("gram") == k) & F.col("gram").startswith(" ")).select("lang", "gram", F.col("n").alias("c"))
+        seen = levels[k + 1].groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
+        first = counts.where((F.length("gram") == k) & F.col("gram").startswith(" ")).select("gram", F.col("n").alias("c"))
         levels[k] = written(seen.union(first), "grams")
     out, lower = None, None
     for k in range(1, order + 1):
         level = levels[k]
-        ones = level.groupBy("lang").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in range(1, 5)), F.count("*").alias("distinct"))
-        y = F.expr("try_divide(n1, n1 + 2 * n2)")
-
-        def discount(i: int, y=y) -> F.Column:
-            value = F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-            fits = (value > 0) & (value < i)
-            return F.when(fits, value).otherwise(0.5 + 0.25 * (i - 1))  # too few counts to tell
-
-        d = ones.select("lang", "distinct", discount(1).alias("d1"), discount(2).alias("d2"), discount(3).alias("d3"))
-        one = level.join(d, "lang").withColumn("context", F.expr(f"substr(gram, 1, {k - 1})")).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        contexts = one.groupBy("lang", "context").agg((F.sum("d") / F.sum("c")).alias("gamma"), F.sum("c").alias("total"), F.max("distinct").alias("distinct"))
-        given = one.select("lang", "context", "gram", ((F.col("c") - F.col("d")) / F.lit(1.0)).alias("left")).join(contexts, ["lang", "context"])
+        *ones, distinct = level.agg(*(F.count_if(F.col("c") == i) for i in range(1, 5)), F.count("*")).first()
+        d1, d2, d3 = map(F.lit, discounts(*ones))
+        one = level.withColumn("context", F.expr(f"substr(gram, 1, {k - 1})")).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
+        contexts = one.groupBy("context").agg((F.sum("d") / F.sum("c")).alias("gamma"), F.sum("c").alias("total"))
+        given = one.select("context", "gram", (F.col("c") - F.col("d")).alias("left")).join(contexts, "context")
         if k == 1:
-            p = given.select("lang", "gram", (F.col("left") / F.col("total") + F.col("gamma") / (F.col("distinct") + 1)).alias("p"))
-            gamma = contexts.select("lang", "context", (F.col("gamma") / (F.col("distinct") + 1)).alias("gamma"))
+            p = given.select("gram", (F.col("left") / F.col("total") + F.col("gamma") / (distinct + 1)).alias("p"))
+            gamma = contexts.select("context", (F.col("gamma") / (distinct + 1)).alias("gamma"))
         else:
-            p = given.withColumn("rest", F.expr("substr(gram, 2)")).join(lower, ["lang", "rest"]).select("lang", "gram", (F.col("left") / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
-            gamma = contexts.select("lang", "context", "gamma")
+            p = given.withColumn("rest", F.expr("substr(gram, 2)")).join(lower, "rest").select("gram", (F.col("left") / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
+            gamma = contexts.select("context", "gamma")
         p = written(p, "probabilities")
-        lower = p.select("lang", F.col("gram").alias("rest"), F.col("p").alias("q"))
-        rows = p.select(F.lit(False).alias("gamma"), "lang", "gram", F.col("p").alias("value")).union(gamma.select(F.lit(True), "lang", "context", "gamma"))
+        lower = p.select(F.col("gram").alias("rest"), F.col("p").alias("q"))
+        rows = p.select(F.lit(False).alias("gamma"), "gram", F.col("p").alias("value")).union(gamma.select(F.lit(True), "context", "gamma"))
         out = rows if out is None else out.union(rows)
     return out
 
@@ -141,13 +138,12 @@ def code_points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def gram_hashes(points: np.ndarray, lang: str, order: int) -> list[np.ndarray]:
+def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     """For each k up to the order a hash of the k-gram that ends at each position of points (the first k - 1 are meaningless)."""
-    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
-    out = [np.full(len(points), seed, np.uint64)]
+    out = [np.full(len(points), SEED, np.uint64)]
     for _ in range(order):
         before = np.empty_like(out[-1])
-        before[1:], before[:1] = out[-1][:-1], seed
+        before[1:], before[:1] = out[-1][:-1], SEED
         out.append(mixed(before * np.uint64(0x9E3779B97F4A7C15) + points))
     return out
 
@@ -174,14 +170,14 @@ class Model:
         at = np.minimum(np.searchsorted(known, keys.astype(np.uint32)), len(known) - 1)
         return np.where(known[at] == keys, values[at].astype(float), np.nan)
 
-    def scores(self, words: list[str], lang: str, order: int = ORDER) -> np.ndarray:
+    def scores(self, words: list[str], order: int = ORDER) -> np.ndarray:
         """log p of each word, its end included."""
         if not words:
             return np.empty(0)
         points = code_points("".join(f" {w}\n" for w in words))
         starts = np.flatnonzero(points == 32)
         since = np.arange(len(points)) - np.repeat(starts, np.diff(np.append(starts, len(points))))
-        hashes = gram_hashes(points, lang, order)
+        hashes = gram_hashes(points, order)
         p, weight = np.ones(len(points)), np.ones(len(points))
         open_ = np.flatnonzero(since > 0)  # the space itself is given
         for k in range(order, 0, -1):
@@ -200,17 +196,16 @@ class Model:
 
 
 def trained(docs: DataFrame, order: int = ORDER) -> Model:
-    """The model of docs (text, lang), as sorted hash arrays on the driver: bounded by the keys, not by the corpus."""
+    """The model of docs (text), as sorted hash arrays on the driver: bounded by the keys, not by the corpus."""
     table_ = kneser_ney(written(gram_counts(docs, order), "gram-counts"), order)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = np.zeros(len(b), np.int64)
             lengths = b["gram"].str.len().to_numpy() if len(b) else np.empty(0, int)
-            langs = b["lang"].to_numpy()
-            for k, lang in sorted(set(zip(lengths.tolist(), langs.tolist(), strict=True))):
-                at = np.flatnonzero((lengths == k) & (langs == lang))
-                hashes = gram_hashes(code_points("".join(b["gram"].iloc[at]) or " "), lang, k)[k]
+            for k in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == k)
+                hashes = gram_hashes(code_points("".join(b["gram"].iloc[at]) or " "), k)[k]
                 keys[at] = keys_of(hashes[max(k, 1) - 1 :: max(k, 1)], k)
             yield pd.DataFrame({"gamma": b["gamma"], "key": keys, "value": b["value"]})
 
@@ -226,7 +221,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
     shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept_in_worker(f"scores {tag}", lambda: defaultdict(dict))
+        known = kept_in_worker(f"scores {tag}", dict)
         for batch in batches:
             ids, langs, at = batch.column(0).to_pylist(), [x or "" for x in batch.column(2).to_pylist()], 0
             while at < len(ids):
@@ -238,24 +233,19 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                     chars.append(len(text))
                     at += 1
                 words = [t.split() for t in raw]
-                here = langs[at - len(raw) : at]
-                missing: dict[str, set[bytes]] = defaultdict(set)
-                if sum(map(len, known.values())) > CACHE:
+                if len(known) > CACHE:
                     known.clear()
-                for w, lang in zip(words, here, strict=True):
-                    missing[lang].update(x for x in w if x not in known[lang])
-                for lang, new in missing.items():
-                    listed = sorted(new)
-                    for k in range(0, len(listed), STEP):
-                        part = listed[k : k + STEP]
-                        known[lang].update(zip(part, shared.value.scores([x.decode("utf-8", "surrogatepass") for x in part], lang).tolist(), strict=True))
+                new = sorted({x for w in words for x in w if x not in known})
+                for k in range(0, len(new), STEP):
+                    part = new[k : k + STEP]
+                    known.update(zip(part, shared.value.scores([x.decode("utf-8", "surrogatepass") for x in part]).tolist(), strict=True))
                 spaces = [len(t) - len(t.translate(None, SPACE)) for t in raw]
                 word_chars = [c - s for c, s in zip(chars, spaces, strict=True)]
                 lines = [[x for x in t.split(b"\n") if x.strip()] for t in raw]
-                scores = [-math.fsum(map(known[lang].__getitem__, w)) / len(w) if w else None for w, lang in zip(words, here, strict=True)]
+                scores = [-math.fsum(map(known.__getitem__, w)) / len(w) if w else None for w in words]
                 columns = [
                     ids[at - len(raw) : at],
-                    here,
+                    langs[at - len(raw) : at],
                     [len(w) for w in words],
                     word_chars,
                     [len(t) - len(t.translate(None, SYMBOLS)) for t in raw],

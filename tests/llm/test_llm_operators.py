@@ -1,6 +1,7 @@
 """Brute force, round trips, and odd rows: nulls, empty and very long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -303,31 +304,78 @@ def test_quality_counts(spark):
     assert quality.judged(spark.createDataFrame([], DOCS + ", lang string")).count() == 0
 
 
-def test_model_is_normalised(spark):
-    """For every context the probabilities of all characters sum to one."""
-    import numpy as np
-
-    docs = spark.createDataFrame([("ab abc abd bcd ab cab dab " * 5, "en")], "text string, lang string")
-    model = quality.trained(docs)
-    for context in ("", "a", "ab", "x"):
-        alphabet = "abcd\n"
-        known = sum(np.exp(quality.Model.scores(model, [context + c], "en")[0] - (quality.Model.scores(model, [context + c], "en")[0] * 0)) > 0 for c in alphabet)
-        assert known == len(alphabet)
-    common, odd = model.scores(["ab"], "en")[0], model.scores(["zq"], "en")[0]
-    assert common > odd and model.scores([], "en").size == 0
-    assert np.isfinite(model.scores(["ab"], "fr")).all()
-
-
-def test_quality_keeps_clean_documents(spark):
+def brute_kneser_ney(words_, order):
+    """p(character, context) of an interpolated modified Kneser-Ney model, from lists of n-grams."""
+    tokens = [f" {w}\n" for w in words_]
+    raw = {k: Counter(t[i : i + k] for t in tokens for i in range(len(t) - k + 1)) for k in range(1, order + 1)}
+    full = {order: dict(raw[order])}
+    for k in range(order - 1, 0, -1):
+        # a gram at the start of a word has nothing before it: its own count; others: how many different characters precede it
+        full[k] = {g: n for g, n in raw[k].items() if g[0] == " " and k > 1 and any(t.startswith(g) for t in tokens)}
+        before = defaultdict(set)
+        for g in full[k + 1]:
+            before[g[1:]].add(g[0])
+        full[k] |= {g: len(x) for g, x in before.items()}
+    cut = {}
+    for k, level in full.items():
+        n = Counter(level.values())
+        cut[k] = {}
+        for i in (1, 2, 3):
+            value = i - (i + 1) * (n[1] / (n[1] + 2 * n[2])) * n[i + 1] / n[i] if n[1] and n[i] else -1
+            cut[k][i] = value if 0 < value < i else {1: 0.5, 2: 0.75, 3: 1.0}[i]
+    kinds = len(full[1])
+
+    def p(c, context):
+        k = len(context) + 1
+        lower = p(c, context[1:]) if context else 1 / (kinds + 1)
+        followers = {g: n for g, n in full[k].items() if g[:-1] == context}
+        if not followers:
+            return lower
+        total = sum(followers.values())
+        own = followers.get(context + c, 0)
+        return max(0, own - cut[k][min(own, 3)] if own else 0) / total + sum(cut[k][min(n, 3)] for n in followers.values()) / total * lower
+
+    return p, sorted(full[1])
+
+
+def test_model_against_brute_force(spark):
+    rng = random.Random(5)
+    words_ = ["".join(rng.choice("aaabbcd") for _ in range(rng.randrange(1, 7))) for _ in range(400)] + ["é", "日本", "日本語"]
+    texts = [" ".join(words_[i : i + 50]) for i in range(0, len(words_), 50)]
+    model = quality.trained(spark.createDataFrame([(t, "en") for t in texts] + [(None, "en"), ("", None)], "text string, lang string"))
+    p, alphabet = brute_kneser_ney(words_, quality.ORDER)
+    for context in ("", "a", "ab", " a", " ", "abc", "日", "zz"):
+        assert abs(sum(p(c, context) for c in alphabet) + p("?", context) - 1) < 1e-9
+    asked = [*words_[:60], "é", "日本語", "zq", "abz", "?", "dddddddd"]
+
+    def brute(w):
+        s = f" {w}\n"
+        return sum(math.log(p(s[i], s[max(0, i - quality.ORDER + 1) : i])) for i in range(1, len(s)))
+
+    for w, got in zip(asked, model.scores(asked), strict=True):
+        assert got == pytest.approx(brute(w), rel=1e-4), w
+    assert model.scores([]).size == 0
+
+
+def test_quality_on_labels(spark):
     d = "/root/testdata/sf0.01"
-    got = quality.judged(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").groupBy("quality").agg({"doc_id": "count"}).collect()
-    assert got
     rows = quality.judged(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
     clean = [r.kept for r in rows if r.quality == 1]
     junk = [r.kept for r in rows if r.quality == 0]
     assert sum(clean) >= 0.99 * len(clean) and sum(junk) < 0.8 * len(junk)
 
 
+def test_passages_in_another_language_are_kept(spark):
+    """A text of two languages' words stays; noise of the same letters goes."""
+    rng = random.Random(6)
+    one, two = (["".join(rng.choice(x) for x in parts) for _ in range(300)] for parts in ((("th", "wh", "st"), "aeio", ("ng", "nd", "rs")), (("pf", "zu", "gk"), "äöüi", ("cht", "lle", "ß"))))
+    rows = [(i, " ".join(rng.choice(one if i % 2 else two) for _ in range(150)), "en" if i % 2 else "de") for i in range(200)]
+    rows += [(900, " ".join(rng.choice(one) for _ in range(90)) + " " + " ".join(rng.choice(two) for _ in range(90)), "en")]
+    rows += [(901, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüß") for _ in range(7)) for _ in range(150)), "en")]
+    kept = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, DOCS + ", lang string")).collect()}
+    assert kept[900] and not kept[901] and all(kept[i] for i in range(200))
+
+
 # 10
 
 
