@@ -4,9 +4,11 @@ The model is a modified Kneser-Ney model of the characters of words, one for all
 in another language than the document's is no surprise to it. Spark counts the n-grams of all documents (words
 are counted first within a task, then their n-grams, then the sums over all tasks), continuation counts and
 back-off weights come from these counts by joins, discounts from five sums for each order, and the
-probabilities end in sorted arrays of hashes: 22 bits for each order, so that however large the corpus is, the
-arrays take at most ORDER * 2**22 * 2 entries of 8 bytes (256 MB; a few MB for four languages), and travel to
-the workers. Hashes that meet share the larger value.
+probabilities end in a trie of sorted arrays, one level for each order: an n-gram's key is the place of its first
+n - 1 characters in the level before and its last character, so n-grams are told apart exactly, however many
+there are, and one that never occurred is never found. The arrays take 16 bytes an n-gram. Up to MODEL_BYTES
+they are broadcast; beyond that they stay in files that Spark brings to each node's disk, where the workers map
+them, so neither the driver's nor a worker's memory bounds the model.
 
 A document's score is the logarithm of its perplexity for a word. Each language has a band around its median score,
 whose width is a multiple of the median distance from it among documents that pass the base rules; that
@@ -19,7 +21,11 @@ An empty table gives an empty result. Whole texts are counted, of any length.
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
+import shutil
+import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +41,10 @@ from .common import BROADCAST_BYTES, kept_in_worker, table, written
 from .words import block_windows, mixed, windows, word_hashes
 
 ORDER = 4
-KEY_BITS = 22
-SEED = np.uint64(0x51ED270B7F0A1C35)
+#: Bits of a character in a key; the place of what comes before it has the rest, so 2**43 n-grams of an order.
+CHAR_BITS = 21
+#: Largest model that is broadcast.
+MODEL_BYTES = 96 * 1024 * 1024
 #: Words and n-grams that a task holds before it passes its counts on.
 HELD_WORDS, HELD_GRAMS = 200_000, 400_000
 #: Scores of words that a worker remembers.
@@ -138,79 +147,124 @@ def code_points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each k up to the order a hash of the k-gram that ends at each position of points (the first k - 1 are meaningless)."""
-    out = [np.full(len(points), SEED, np.uint64)]
-    for _ in range(order):
-        before = np.empty_like(out[-1])
-        before[1:], before[:1] = out[-1][:-1], SEED
-        out.append(mixed(before * np.uint64(0x9E3779B97F4A7C15) + points))
-    return out
+def keys_of(prefixes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return (prefixes.astype(np.uint64) << np.uint64(CHAR_BITS)) | points.astype(np.uint64)
+
 
+class Model:
+    """For each order the sorted keys of its n-grams, with their probabilities and their weights as contexts
+    (NaN where there is none). The arrays are held, or named as files that Spark brings to each node."""
 
-def keys_of(hashes: np.ndarray, k: int) -> np.ndarray:
-    return (mixed(hashes + np.uint64(k)) & np.uint64((1 << KEY_BITS) - 1)) | np.uint64(k << KEY_BITS)
+    KINDS = {"key": np.uint64, "p": np.float32, "gamma": np.float32}
 
+    def __init__(self, order: int, unknown: float, arrays: dict[str, np.ndarray] | None, files: dict[str, str]):
+        self.order, self.unknown, self.arrays, self.files = order, unknown, arrays, files
 
-class Model:
-    """Sorted arrays of keys, with a value each."""
-
-    def __init__(self, rows: pa.Table):
-        self.arrays = {}
-        gamma, key, value = (rows.column(c).to_numpy() for c in ("gamma", "key", "value"))
-        for kind, own in (("p", np.flatnonzero(~gamma)), ("gamma", np.flatnonzero(gamma))):
-            own = own[np.argsort(key[own])]
-            self.arrays[kind] = key[own].astype(np.uint32), value[own].astype(np.float32)
-
-    def find(self, kind: str, keys: np.ndarray) -> np.ndarray:
-        """Values of keys; NaN where there is none."""
-        known, values = self.arrays[kind]
-        if not len(known):
-            return np.full(len(keys), np.nan)
-        at = np.minimum(np.searchsorted(known, keys.astype(np.uint32)), len(known) - 1)
-        return np.where(known[at] == keys, values[at].astype(float), np.nan)
-
-    def scores(self, words: list[str], order: int = ORDER) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"arrays": None if self.files else self.arrays}
+
+    def array(self, kind: str, k: int) -> np.ndarray:
+        if self.arrays is None:
+            paths = {name: SparkFiles.get(file) for name, file in self.files.items()}
+            self.arrays = {name: mapped(path, self.KINDS[name.split("-")[0]]) for name, path in paths.items()}
+        return self.arrays[f"{kind}-{k}"]
+
+    def scores(self, words: list[str]) -> np.ndarray:
         """log p of each word, its end included."""
         if not words:
             return np.empty(0)
         points = code_points("".join(f" {w}\n" for w in words))
         starts = np.flatnonzero(points == 32)
         since = np.arange(len(points)) - np.repeat(starts, np.diff(np.append(starts, len(points))))
-        hashes = gram_hashes(points, order)
+        places = [np.zeros(len(points), np.int64)]  # for each k the place of the k-gram that ends at each position, or -1
+        for k in range(1, self.order + 1):
+            at = np.flatnonzero(since >= k - 1)  # the gram lies within one word
+            before = places[-1][at - 1] if k > 1 else places[-1][at]
+            places.append(np.full(len(points), -1, np.int64))
+            places[-1][at[before >= 0]] = found(self.array("key", k), keys_of(before[before >= 0], points[at[before >= 0]]))
         p, weight = np.ones(len(points)), np.ones(len(points))
         open_ = np.flatnonzero(since > 0)  # the space itself is given
-        for k in range(order, 0, -1):
-            fits = since[open_] >= k - 1  # the gram lies within one word
+        for k in range(self.order, 0, -1):
+            fits = since[open_] >= k - 1
             at = open_[fits]
-            own = self.find("p", keys_of(hashes[k][at], k))
+            own = valued(self.array("p", k), places[k][at])
             p[at] = weight[at] * np.nan_to_num(own, nan=1.0)
             missed = at[np.isnan(own)]
             if k > 1:
-                weight[missed] *= np.nan_to_num(self.find("gamma", keys_of(hashes[k - 1][missed - 1], k - 1)), nan=1.0)
+                weight[missed] *= np.nan_to_num(valued(self.array("gamma", k - 1), places[k - 1][missed - 1]), nan=1.0)
             open_ = np.sort(np.concatenate((open_[~fits], missed)))
-        unknown = self.find("gamma", keys_of(hashes[0][:1], 0))[0]
-        p[open_] = weight[open_] * (1e-6 if np.isnan(unknown) else unknown)
+        p[open_] = weight[open_] * self.unknown
         p[starts] = 1.0
         return np.add.reduceat(np.log(p), starts)
 
 
-def trained(docs: DataFrame, order: int = ORDER) -> Model:
-    """The model of docs (text), as sorted hash arrays on the driver: bounded by the keys, not by the corpus."""
+def mapped(path: str, kind: type) -> np.ndarray:
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+
+
+def found(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys among the sorted known ones; -1 where there is none."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
+
+
+def valued(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Values at the places; NaN where there is none."""
+    if not len(values):
+        return np.full(len(places), np.nan)
+    return np.where(places >= 0, values[np.maximum(places, 0)].astype(float), np.nan)
+
+
+def trained(docs: DataFrame, order: int = ORDER, max_broadcast: int = MODEL_BYTES) -> Model:
+    """The model of docs (text). Spark sorts the n-grams and the driver appends them to files, a partition at a time
+    if there are many."""
     table_ = kneser_ney(written(gram_counts(docs, order), "gram-counts"), order)
+    values = [F.max(F.when(F.col("gamma") == gamma, F.col("value"))).cast("float").alias(name) for gamma, name in ((False, "p"), (True, "gamma"))]
+    grams = written(table_.groupBy("gram").agg(*values), "model")  # a gram has one value of each kind at most
+    small = 16 * grams.count() <= max_broadcast
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = np.zeros(len(b), np.int64)
-            lengths = b["gram"].str.len().to_numpy() if len(b) else np.empty(0, int)
-            for k in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == k)
-                hashes = gram_hashes(code_points("".join(b["gram"].iloc[at]) or " "), k)[k]
-                keys[at] = keys_of(hashes[max(k, 1) - 1 :: max(k, 1)], k)
-            yield pd.DataFrame({"gamma": b["gamma"], "key": keys, "value": b["value"]})
-
-    rows = table_.mapInPandas(hashed, "gamma boolean, key int, value float").groupBy("gamma", "key").agg(F.max("value").alias("value"))
-    return Model(rows.toArrow())
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(0).to_numpy()
+            p, gamma = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float32) for i in (2, 3))  # null becomes NaN
+            cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)] if len(lengths) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                points = code_points("".join(batch.column(1)[lo:hi].to_pylist())).astype(np.uint32) if lengths[lo] else np.empty(0, np.uint32)
+                columns = [[int(lengths[lo])], [points.tobytes()], [p[lo:hi].tobytes()], [gamma[lo:hi].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["k", "points", "p", "gamma"])
+
+    # Spark orders strings by their UTF-8 bytes, which is by code points, so keys come in ascending order
+    rows = grams.select(F.length("gram").alias("k"), "gram", "p", "gamma").orderBy("k", "gram").mapInArrow(packed, "k int, points binary, p binary, gamma binary")
+    top, unknown = os.path.realpath(tempfile.mkdtemp(prefix="loomlog-model-")), 1e-6
+    tag, names = uuid.uuid4().hex, [f"{kind}-{k}" for k in range(1, order + 1) for kind in Model.KINDS]
+    path = {name: f"{top}/{tag}-{name}" for name in names}
+    for name in names:
+        open(path[name], "wb").close()
+    levels: dict[int, np.ndarray] = {}
+    for r in rows.collect() if small else rows.toLocalIterator():
+        if not r["k"]:
+            unknown = float(np.frombuffer(r["gamma"], np.float32)[0])
+            continue
+        points = np.frombuffer(r["points"], np.uint32).reshape(-1, r["k"])
+        place = np.zeros(len(points), np.int64)
+        for k in range(1, r["k"]):  # the levels before are whole
+            if k not in levels:
+                levels[k] = mapped(path[f"key-{k}"], np.uint64)
+            place = found(levels[k], keys_of(place, points[:, k - 1]))
+        for kind, part in (("key", keys_of(place, points[:, -1]).tobytes()), ("p", r["p"]), ("gamma", r["gamma"])):
+            with open(path[f"{kind}-{r['k']}"], "ab") as f:
+                f.write(part)
+    levels.clear()
+    if small:
+        arrays = {name: np.fromfile(path[name], Model.KINDS[name.split("-")[0]]) for name in names}
+        shutil.rmtree(top)
+        return Model(order, unknown, arrays, {})
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
+    for name in names:
+        docs.sparkSession.sparkContext.addFile(path[name])
+    return Model(order, unknown, None, {name: f"{tag}-{name}" for name in names})
 
 
 MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"

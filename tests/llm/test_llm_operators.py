@@ -357,6 +357,24 @@ def test_model_against_brute_force(spark):
     assert model.scores([]).size == 0
 
 
+@pytest.mark.parametrize("max_broadcast", [1 << 20, 0])
+def test_model_tells_all_grams_apart(spark, max_broadcast):
+    """Pairs of n-grams whose 22-bit hashes met: a frequent one, and one that is rare or never occurs."""
+    words_ = ["xbmkfy"] * 50 + ["xbijjy"] * 30 + ["xbogey"] * 20 + ["zcdigu", "zcghau", "zcdigo", "q", "qrs", "日本語語"]
+    model = quality.trained(spark.createDataFrame([(w,) for w in words_], "text string"), max_broadcast=max_broadcast)
+    p, _ = brute_kneser_ney(words_, quality.ORDER)
+    asked = [*sorted(set(words_)), "zcnjdu", "cnjd", "日本語", "?"]
+    for w, got in zip(asked, model.scores(asked), strict=True):
+        s = f" {w}\n"
+        assert got == pytest.approx(sum(math.log(p(s[i], s[max(0, i - quality.ORDER + 1) : i])) for i in range(1, len(s))), rel=1e-5), w
+
+
+def test_model_in_files_reaches_workers(spark):
+    rows = spark.createDataFrame([(i, prose(random.Random(i), 40), "en") for i in range(20)], DOCS + ", lang string")
+    small, large = (quality.measured(rows, quality.trained(rows, max_broadcast=limit)) for limit in (1 << 20, 0))
+    assert sorted(small.collect()) == sorted(large.collect())
+
+
 def test_quality_on_labels(spark):
     d = "/root/testdata/sf0.01"
     rows = quality.judged(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
