@@ -243,6 +243,12 @@ def replica_set(spark, d):
     return lookup.replica_set(keys, _ring(spark), 2).select("key", F.array_join("replicas", ",").alias("replicas"))
 
 
+@query()
+def replica_set_all(spark, d):
+    """The replica sets of all orders. Those of replica_set are the first 500 by key, as its SQL has it."""
+    return lookup.replica_set(orders_state(spark, d), _ring(spark), 2).select("key", F.array_join("replicas", ",").alias("replicas"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0")
 def replica_missing_entries(spark, d):
     orders = read(spark, d, "orders").select("o_orderkey")

@@ -97,3 +97,23 @@ def test_streams(spark, tmp_path):
     assert {(r.key, r.value) for r in spark.sql("SELECT * FROM live").collect()} == {("a", "1")}
     streams.smoothed(source, "key", "seq", 0.5).writeStream.outputMode("update").format("memory").queryName("rates").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(60)
     assert {(r.key, r.rate) for r in spark.sql("SELECT * FROM rates").collect()} == {("a", 0.5), ("b", 2.0)}
+
+
+def test_replica_sets_of_all_orders(spark):
+    import hashlib
+
+    from loomlog.model import orders_state
+    from loomlog.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    h = lambda s: int(hashlib.sha256(s.encode()).hexdigest()[:16], 16)
+    vnodes = [(h(f"{node}:{i}"), node) for node in ("node1", "node2", "node3") for i in range(200)]
+    want = {}
+    for (key,) in orders_state(spark, d).select("key").collect():
+        far = {}
+        for at, node in vnodes:
+            far[node] = min(far.get(node, 1 << 64), (at - h(key)) % (1 << 64))
+        want[key] = ",".join(sorted(far, key=far.get)[:2])
+    assert len(want) > 500
+    got = QUERIES["replica_set_all"].run(spark, d).collect()
+    assert len(got) == len(want) and {r.key: r.replicas for r in got} == want
