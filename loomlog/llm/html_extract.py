@@ -2,10 +2,12 @@
 
 A page becomes a tree of elements. Each element's subtree has a hash (names, kinds and normalised text of all
 in it); Spark counts on how many pages of its host a subtree stands, and subtrees that recur on many pages of
-the host are its template and are deleted. What the page itself marks as an article (article, main, or a
-container named so) is content, so nothing in it is taken for template merely because it recurs; by the marks
-of the page itself menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go
-wherever they stand.
+the host are its template and are deleted. In what the page itself marks as an article (article, main, or a
+container named so), a container or paragraph is template only if what stands around it in the article differs
+on most of the pages that have it, so copies and near copies of an article don't make its text template;
+headings, items, cells and inline elements are content there even if they recur. By the marks of the page
+itself menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go wherever they
+stand. Of a main element all other text stays, beside an article in it too.
 
 Blocks are the stretches of text between block elements; line breaks end no block. White space in a block
 becomes one space, character references are decoded, blocks are joined by a blank line.
@@ -20,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +35,8 @@ from .common import BROADCAST_BYTES, table, written
 
 #: A subtree is template if it stands on at least so many pages of its host, and on at least this part of them.
 MIN_PAGES, SHARE = 8, 0.2
+#: In an article, those pages are counted whose rest of the article differs, and they are at least this part of the pages with the subtree.
+DIFFERENT = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -47,6 +53,10 @@ DROPPED = frozenset("head script style noscript template iframe object embed svg
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words in class and id that name what is no main text; a name is split at what is no letter or digit.
 NAMED = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer cookie cookies consent notice popup modal newsletter subscribe signup login share sharing social related recommended comment comments respond replies disqus pagination pager toolbar widget".split())
+#: Elements of an article that can be template.
+PASSAGES = BLOCK - frozenset("h1 h2 h3 h4 h5 h6 hgroup header li dt dd td th tr tbody thead tfoot caption figcaption legend summary option pre body html head".split())
+#: What the digest of a subtree in an article ends with, where it is counted.
+INSIDE = (b"m0", b"m1")
 MAIN = frozenset("article main content post entry story".split())
 
 
@@ -145,21 +155,43 @@ def mark(root: Node) -> None:
         node.digest = h.digest()
 
 
-def subtrees(root: Node) -> set[bytes]:
-    """Hashes of the elements with text that could be template: those outside of what is marked as main or dropped."""
+def subtrees(root: Node) -> set[tuple[bytes, bytes]]:
+    """Hashes of the elements with text that could be template, and for those in marked elements (once for each of INSIDE)
+    one of the other texts there, drawn by its hash and the likelier the longer it is, which tells articles apart
+    but seldom near copies of one, and seldom draws another template."""
     out, todo = set(), [root]
     while todo:
         node = todo.pop()
         if node.name and not node.skip and not node.main:
             if node.name not in ("#root", "html", "body", "br", "hr", "meta"):
-                out.add(node.digest)
+                out.add((node.digest, b""))
             todo += node.children
+    texts: list[tuple[list[float], bytes]] = []
+    spans: list[tuple[bytes, int, int]] = []
+    steps = [(n, -1) for n in reversed(tops(root))]
+    while steps:
+        node, began = steps.pop()
+        if began >= 0:
+            if len(texts) > began:
+                spans.append((node.digest, began, len(texts)))
+        elif not node.name:
+            if size := len(node.text.strip()):
+                texts.append(([-math.log((int.from_bytes(node.digest[k : k + 8]) + 1) / 2**64) / size for k in (0, 8)], node.digest))
+        elif not is_dropped(node, True) and node.name not in RAW:
+            if node.name in PASSAGES:
+                steps.append((node, len(texts)))
+            steps += [(c, -1) for c in reversed(node.children)]
+    none = (math.inf, b"")
+    for k, end in enumerate(INSIDE):
+        drawn = [(x[k], digest) for x, digest in texts]
+        before = list(accumulate(drawn, min, initial=none))
+        after = list(accumulate(reversed(drawn), min, initial=none))[::-1]
+        out.update((digest + end, min(before[lo], after[hi])[1]) for digest, lo, hi in spans)
     return out
 
 
-def blocks(root: Node, template: set[bytes]) -> list[str]:
-    """Blocks of text, without dropped and template subtrees; if the page marks main elements, of these alone.
-    In an article a header holds its headline and stays."""
+def tops(root: Node) -> list[Node]:
+    """The outermost elements marked as main; article and main alone if there are any."""
     marked, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -171,6 +203,17 @@ def blocks(root: Node, template: set[bytes]) -> list[str]:
             todo += reversed(node.children)
     if any(n.name in ("article", "main") for n in marked):
         marked = [n for n in marked if n.name in ("article", "main")]
+    return marked
+
+
+def is_dropped(node: Node, inside: bool) -> bool:
+    """In an article a header holds its headline and stays."""
+    return node.skip and not (inside and node.name in ("header", "hgroup") and not only_names(node))
+
+
+def blocks(root: Node, template: set[bytes]) -> list[str]:
+    """Blocks of text, without dropped and template subtrees; if the page marks main elements, of these alone."""
+    marked = tops(root)
     out: list[str] = []
     text: list[str] = []
 
@@ -187,7 +230,7 @@ def blocks(root: Node, template: set[bytes]) -> list[str]:
                 flush()
             elif not node.name:
                 text.append(node.text)
-            elif node.skip and not (inside and node.name in ("header", "hgroup") and not only_names(node)) or not inside and node.digest in template:
+            elif is_dropped(node, inside) or (node.digest + INSIDE[0] if inside else node.digest) in template and (node.name in PASSAGES or not inside):
                 if node.name in BLOCK:
                     flush()
             elif node.name == "br":
@@ -212,22 +255,30 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, different: float = DIFFERENT) -> DataFrame:
     """host, digest (binary): subtrees that stand on many pages of their host. Counts are combined within tasks first,
     so a host with a third of all pages is no burden to a single one."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests = [], []
+            hosts, digests, rests = [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 root = parse(source.as_py() or "")
                 mark(root)
-                found = [*subtrees(root), b""]  # the empty one counts pages
+                found = [*subtrees(root), (b"", b"")]  # the empty one counts pages
                 hosts += [host_of(url)] * len(found)
-                digests += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary())], ["host", "digest"])
-
-    counts = written(pages.select("url", "html").mapInArrow(hashes, "host string, digest binary").groupBy("host", "digest").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | (F.octet_length("digest") == 0)), "subtrees")
+                digests += [x for x, _ in found]
+                rests += [x for _, x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(rests, pa.binary())], ["host", "digest", "rest"])
+
+    # a subtree with the same text around it counts once in an article
+    by_rest = pages.select("url", "html").mapInArrow(hashes, "host string, digest binary, rest binary").groupBy("host", "digest", "rest").agg(F.count("*").alias("all"))
+    sums = by_rest.groupBy("host", "digest").agg(F.sum("all").alias("all"), F.count("*").alias("rests"))
+    inside = F.octet_length("digest") > 16
+    sums = sums.where(~inside | (F.col("rests") >= different * F.col("all"))).select("host", F.when(inside, F.concat(F.substring("digest", 1, 16), F.lit(INSIDE[0]))).otherwise(F.col("digest")).alias("digest"), F.when(inside, F.col("rests")).otherwise(F.col("all")).alias("n"))
+    sums = sums.where((F.col("n") >= min_pages) | (F.octet_length("digest") == 0)).groupBy("host", "digest").agg(F.min("n").alias("n"), F.count("*").alias("draws"))
+    sums = sums.where(~inside | (F.col("draws") == len(INSIDE))).drop("draws")  # both draws must tell: text that isn't sure to be template stays
+    counts = written(sums, "subtrees")
     sizes = counts.where(F.octet_length("digest") == 0).select("host", F.col("n").alias("pages"))
     found = counts.where(F.octet_length("digest") > 0).join(sizes, "host")
     return found.where(F.col("n") >= F.col("pages") * share).select("host", "digest")

@@ -156,6 +156,22 @@ def test_html(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_in_articles(spark):
+    """Recurring passages in marked elements go where the articles differ; copies, near copies and headings keep their text."""
+    body = lambda i: f"<h2>Notes</h2><p>first {i} {prose(random.Random(i), 20)}</p><p>second {i} <b>Note</b></p><p>third {i}</p>"
+    rows = [(i, "http://a.org/x", f'<main><div class="x7">Get our app</div><article>{body(i)}<div><p>Read on</p></div></article></main>') for i in range(20)]
+    want = [(i, f"Notes\n\nfirst {i} {prose(random.Random(i), 20)}\n\nsecond {i} Note\n\nthird {i}") for i in range(20)]
+    rows += [(100 + i, "http://b.org/x", "<article><p>one</p><p>two</p></article>") for i in range(20)]
+    want += [(100 + i, "one\n\ntwo") for i in range(20)]
+    near = [[f"p{j}" if j != i % 12 else f"edited {i}" for j in range(12)] for i in range(24)]
+    rows += [(200 + i, "http://c.org/x", "<article>" + "".join(f"<p>{x}</p>" for x in n) + "</article>") for i, n in enumerate(near)]
+    want += [(200 + i, "\n\n".join(n)) for i, n in enumerate(near)]
+    rows += [(300 + i, "http://d.org/x", f'<div class="content"><p>Get our app</p>{body(i)}</div>') for i in range(7)]
+    want += [(300 + i, f"Get our app\n\nNotes\n\nfirst {i} {prose(random.Random(i), 20)}\n\nsecond {i} Note\n\nthird {i}") for i in range(7)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == dict(want)
+
+
 def test_html_on_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
