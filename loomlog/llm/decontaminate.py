@@ -91,7 +91,7 @@ def intersected(index: DataFrame, wanted: DataFrame) -> DataFrame:
     shift = F.col("before") - F.col("offset") + 1
     exact = (shift >= 1) & (F.slice("near", F.greatest(shift, F.lit(1)), F.size("phrase")) == F.col("phrase"))
     lists = index.join(F.broadcast(wanted), "term").select("doc_id", "phrase_id", start.alias("start"), "needed", F.size("phrase").alias("of"), "offset", exact.alias("exact"))
-    met = lists.groupBy("doc_id", "phrase_id", "start", "needed", "of").agg(F.count("*").alias("n"), F.bool_and("exact").alias("exact"))
+    met = lists.groupBy("doc_id", "phrase_id", "start", "needed", "of").agg(F.count("*").alias("n"), F.bool_or("exact").alias("exact"))
     # repeated rows of a document post a place again, so there may be more, never fewer
     return met.where(F.col("n") >= F.col("needed")).select("doc_id", "phrase_id", "start", "of", "exact")
 

@@ -120,6 +120,14 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.start) for r in near.collect()} <= {(1, 0), (1, 1), (3, 0), (3, 1)} and {r.doc_id for r in near.collect()} == {1, 3}
 
 
+def test_contamination_of_texts_that_share_a_doc_id(spark):
+    """The second text has the phrase's first word at the same place, without the phrase."""
+    item = " ".join(f"t{i}" for i in range(10))
+    rows = [(doc, t) for doc in (1, None) for t in (item, item.rsplit(" ", 1)[0] + " other")] + [(2, "t0 t1 other")]
+    got = decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.contaminated) for r in got) == {(1, True): 2, (None, True): 2, (2, False): 1}
+
+
 def test_phrase_blocks_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     phrases = decontaminate.phrases(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).selectExpr("unhex(md5(array_join(phrase, ' '))) AS phrase_id", "phrase").distinct()
