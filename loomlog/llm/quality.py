@@ -1,18 +1,20 @@
 """Quality rules: counts of each text, and an n-gram language model with perplexity bands for each language.
 
-The model is a modified Kneser-Ney model of the characters of words, one for all languages, so that a passage
-in another language than the document's is no surprise to it. Spark counts the n-grams of all documents (words
-are counted first within a task, then their n-grams, then the sums over all tasks), continuation counts and
-back-off weights come from these counts by joins, discounts from five sums for each order, and the
-probabilities end in a trie of sorted arrays, one level for each order: an n-gram's key is the place of its first
-n - 1 characters in the level before and its last character, so n-grams are told apart exactly, however many
-there are, and one that never occurred is never found. The arrays take 16 bytes an n-gram. Up to MODEL_BYTES
-they are broadcast; beyond that they stay in files that Spark brings to each node's disk, where the workers map
-them, so neither the driver's nor a worker's memory bounds the model.
-
-A document's score is the logarithm of its perplexity for a word. Each language has a band around its median score,
-whose width is a multiple of the median distance from it among documents that pass the base rules; that
-distance is kept at least at FLOOR, and it widens for short texts. Documents outside are rejected.
+The model is a modified Kneser-Ney model of a text's characters, its words with one space between them, so
+n-grams cross from word to word and the order of words counts. There is one model for all languages, so that a
+passage in another language than the document's is no surprise to it. Spark counts the n-grams of all documents
+(within a task words, and the seams between them, are counted first, then their n-grams, then the sums over all
+tasks), continuation counts and back-off weights come from these counts by joins, discounts from five sums for
+each order, and the probabilities end in a trie of sorted arrays, one level for each order: an n-gram's key is
+the place of its first n - 1 characters in the level before and its last character, so n-grams are told apart
+exactly, however many there are, and one that never occurred is never found. The arrays take 16 bytes an n-gram.
+Up to MODEL_BYTES they are broadcast; beyond that they stay in files that Spark brings to each node's disk, where
+the workers map them, so neither the driver's nor a worker's memory bounds the model.
+
+A document has two scores, the logarithms of its perplexity for a word and for a character. Each language has a
+band for either, around the median score, whose lower and upper widths are multiples of the median distance from
+it among documents that pass the base rules; that distance is kept above a floor, and the band widens for short
+texts. Documents outside a band are rejected.
 
 Nulls and odd rows: a null text has no words and fails the base rules. A null language is one of its own. Rows
 are judged each by themselves, so ties and repeated rows have equal results (they count twice in the model).
@@ -41,6 +43,8 @@ from .common import BROADCAST_BYTES, kept_in_worker, table, written
 from .words import block_windows, mixed, windows, word_hashes
 
 ORDER = 4
+#: Stands before the first word of a text; no word holds it.
+START = "\n"
 #: Bits of a character in a key; the place of what comes before it has the rest, so 2**43 n-grams of an order.
 CHAR_BITS = 21
 #: Largest model that is broadcast.
@@ -49,8 +53,9 @@ MODEL_BYTES = 96 * 1024 * 1024
 HELD_WORDS, HELD_GRAMS = 200_000, 400_000
 #: Scores of words that a worker remembers.
 CACHE = 400_000
-#: Half the band, in scaled median distances; and the least distance, in units of log perplexity.
-BAND, FLOOR = 8.0, 0.1
+#: Of each score: how far the band reaches below and above the median, in scaled median distances; and the least distance,
+#: in units of log perplexity.
+BANDS = {"score": (5.0, 5.0, 0.1), "char_score": (7.0, 3.5, 0.01)}
 #: A text of n words has a band wider by the factor sqrt(1 + SHORT / n).
 SHORT = 100
 REPEAT_WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -61,16 +66,65 @@ STEP = 10_000
 BLOCK = 500_000
 
 
-def add_grams(words: Counter, order: int, to: dict[str, int]) -> None:
-    """Add n-grams of space + word + line break, of the order, and shorter ones at the start, with counts."""
+class Words(dict):
+    """Numbers of words, in the order in which they came, with the numbers of their tails and heads: the last characters of
+    the word behind its space, and the first ones before the space that follows, as far as an n-gram reaches."""
+
+    def __init__(self, order: int):
+        self.reach, self.list, self.tail, self.head = order - 2, [], [], []
+        self.affixes: list[str] = [START]
+        self.numbers = {START: 0}
+
+    def __missing__(self, word: bytes) -> int:
+        s = f" {word.decode('utf-8', 'surrogatepass')} "
+        for to, affix in ((self.tail, s[-1 - self.reach : -1]), (self.head, s[1 : 1 + self.reach])):
+            number = self.numbers.setdefault(affix, len(self.affixes))
+            if number == len(self.affixes):
+                self.affixes.append(affix)
+            to.append(number)
+        self.list.append(s)
+        self[word] = len(self.list) - 1
+        return self[word]
+
+    def seams(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """A number for each word (in the order of texts): the tail of the word before and its own head. firsts: places of texts' first words."""
+        tails, heads = np.array(self.tail, np.int64), np.array(self.head, np.int64)
+        before = np.zeros(len(ids), np.int64)
+        before[1:] = tails[ids[:-1]]
+        before[firsts] = 0
+        return before << 32 | heads[ids]
+
+    def seam(self, number: int) -> tuple[str, int]:
+        """The characters of a seam, and how many of them are given."""
+        tail, head = self.affixes[number >> 32], self.affixes[number & (1 << 32) - 1]
+        return f"{tail} {head}", len(tail) + 1
+
+
+def first_places(words: list[list[bytes]]) -> np.ndarray:
+    """Where each text that has words begins, if they are laid end to end."""
+    counts = np.array([len(w) for w in words], np.int64)
+    return (np.cumsum(counts) - counts)[counts > 0]
+
+
+def numbered(known: Words, words: list[list[bytes]]) -> np.ndarray:
+    return np.fromiter((known[x] for w in words for x in w), np.int64, sum(map(len, words)))
+
+
+def add_grams(known: Words, times: np.ndarray, seams: dict[int, int], order: int, to: dict[str, int]) -> None:
+    """Add the n-grams of words (how often each came) and of the seams between them, and the shorter ones of texts' starts."""
     get = to.get
-    for word, n in words.items():
-        s = f" {word.decode('utf-8', 'surrogatepass')}\n"
-        for k in range(2, min(order, len(s) + 1)):
-            to[s[:k]] = get(s[:k], 0) + n
+    for s, n in zip(known.list, times.tolist(), strict=True):
         for i in range(len(s) - order + 1):
             g = s[i : i + order]
             to[g] = get(g, 0) + n
+    for number, n in seams.items():
+        s, given = known.seam(number)
+        if s[0] == START:
+            for k in range(2, min(order, len(s) + 1)):
+                to[s[:k]] = get(s[:k], 0) + n
+        for end in range(max(given + 1, order), len(s) + 1):
+            g = s[end - order : end]
+            to[g] = get(g, 0) + n
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -78,8 +132,8 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_in_worker("counts", dict)
-        words: Counter = Counter()
         grams: dict[str, int] = {}
+        known, times, seams = Words(order), np.zeros(0, np.int64), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
@@ -87,21 +141,40 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                if text:
-                    words.update(text.encode("utf-8", "surrogatepass").split())
-                    if len(words) > HELD_WORDS:
-                        add_grams(words, order, grams)
-                        words.clear()
-                        if len(grams) > HELD_GRAMS:
-                            yield flush()
-        add_grams(words, order, grams)
+            for texts in blocks_of_texts(batch.column(0)):
+                words = [t.split() for t in texts]
+                ids = numbered(known, words)
+                if not len(ids):
+                    continue
+                now = np.bincount(ids, minlength=len(known.list))
+                now[: len(times)] += times
+                times = now
+                found, n = np.unique(known.seams(ids, first_places(words)), return_counts=True)
+                seams.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
+                if len(known) > HELD_WORDS or len(seams) > HELD_GRAMS:
+                    add_grams(known, times, seams, order, grams)
+                    known, times, seams = Words(order), np.zeros(0, np.int64), Counter()
+                    if len(grams) > HELD_GRAMS:
+                        yield flush()
+        add_grams(known, times, seams, order, grams)
         yield flush()
 
     return docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def blocks_of_texts(column: pa.Array) -> Iterator[list[bytes]]:
+    """Texts in UTF-8 (null: empty), so many at a time that they take about BLOCK bytes."""
+    out, size = [], 0
+    for text in column:
+        out.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(out[-1])
+        if size >= BLOCK:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """What n-grams counted once, twice and more often lose; n1 to n4: how many are counted once to four times."""
     n, out = (0, n1, n2, n3, n4), []
@@ -120,7 +193,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     levels: dict[int, DataFrame] = {order: counts.where(F.length("gram") == order).select("gram", F.col("n").alias("c"))}
     for k in range(order - 1, 0, -1):
         seen = levels[k + 1].groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
-        first = counts.where((F.length("gram") == k) & F.col("gram").startswith(" ")).select("gram", F.col("n").alias("c"))
+        first = counts.where((F.length("gram") == k) & F.col("gram").startswith(START)).select("gram", F.col("n").alias("c"))
         levels[k] = written(seen.union(first), "grams")
     out, lower = None, None
     for k in range(1, order + 1):
@@ -169,21 +242,22 @@ class Model:
             self.arrays = {name: mapped(path, self.KINDS[name.split("-")[0]]) for name, path in paths.items()}
         return self.arrays[f"{kind}-{k}"]
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """log p of each word, its end included."""
-        if not words:
+    def scores(self, strings: list[str], given: np.ndarray) -> np.ndarray:
+        """For each of the strings, none empty, the log probability of what follows its first `given` characters."""
+        if not strings:
             return np.empty(0)
-        points = code_points("".join(f" {w}\n" for w in words))
-        starts = np.flatnonzero(points == 32)
-        since = np.arange(len(points)) - np.repeat(starts, np.diff(np.append(starts, len(points))))
+        points = code_points("".join(strings))
+        sizes = np.array([len(x) for x in strings], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        since = np.arange(len(points)) - np.repeat(starts, sizes)
         places = [np.zeros(len(points), np.int64)]  # for each k the place of the k-gram that ends at each position, or -1
         for k in range(1, self.order + 1):
-            at = np.flatnonzero(since >= k - 1)  # the gram lies within one word
+            at = np.flatnonzero(since >= k - 1)  # the gram lies within one string
             before = places[-1][at - 1] if k > 1 else places[-1][at]
             places.append(np.full(len(points), -1, np.int64))
             places[-1][at[before >= 0]] = found(self.array("key", k), keys_of(before[before >= 0], points[at[before >= 0]]))
         p, weight = np.ones(len(points)), np.ones(len(points))
-        open_ = np.flatnonzero(since > 0)  # the space itself is given
+        open_ = np.flatnonzero(since >= np.repeat(given, sizes))
         for k in range(self.order, 0, -1):
             fits = since[open_] >= k - 1
             at = open_[fits]
@@ -194,10 +268,40 @@ class Model:
                 weight[missed] *= np.nan_to_num(valued(self.array("gamma", k - 1), places[k - 1][missed - 1]), nan=1.0)
             open_ = np.sort(np.concatenate((open_[~fits], missed)))
         p[open_] = weight[open_] * self.unknown
-        p[starts] = 1.0
         return np.add.reduceat(np.log(p), starts)
 
 
+class Scorer:
+    """Scores of texts' words: what lies within a word is scored once for the word, its first characters once for each
+    head and tail of the word before."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.inner = Words(self.model.order), np.empty(0)
+        self.known, self.of_known = np.empty(0, np.int64), np.empty(0)
+
+    def __call__(self, words: list[list[bytes]]) -> np.ndarray:
+        """log p of each word of texts laid end to end, given the word before; the space behind it is included."""
+        if max(len(self.words), len(self.known)) > CACHE:
+            self.forget()
+        ids = numbered(self.words, words)
+        for k in range(len(self.inner), len(self.words.list), STEP):
+            part = self.words.list[k : k + STEP]
+            given = np.full(len(part), self.model.order - 1)
+            self.inner = np.concatenate((self.inner, self.model.scores(part, given)))
+        seams = self.words.seams(ids, first_places(words)) if len(ids) else np.empty(0, np.int64)
+        new = np.setdiff1d(seams, self.known)
+        for k in range(0, len(new), STEP):
+            strings, given = zip(*(self.words.seam(x) for x in new[k : k + STEP].tolist()), strict=True)
+            at = np.searchsorted(self.known, new[k : k + STEP])
+            self.of_known = np.insert(self.of_known, at, self.model.scores(list(strings), np.array(given)))
+            self.known = np.insert(self.known, at, new[k : k + STEP])
+        return self.inner[ids] + (self.of_known[np.searchsorted(self.known, seams)] if len(ids) else 0.0)
+
+
 def mapped(path: str, kind: type) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
 
@@ -267,48 +371,39 @@ def trained(docs: DataFrame, order: int = ORDER, max_broadcast: int = MODEL_BYTE
     return Model(order, unknown, None, {name: f"{tag}-{name}" for name in names})
 
 
-MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, char_score double"
 
 
 def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """MEASURES of docs (doc_id, text, lang); score: log of the perplexity for a word, null without words."""
+    """MEASURES of docs (doc_id, text, lang); score, char_score: log of the perplexity for a word, and for a character; null without words."""
     shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept_in_worker(f"scores {tag}", dict)
+        scorer = kept_in_worker(f"scores {tag}", lambda: Scorer(shared.value))
         for batch in batches:
-            ids, langs, at = batch.column(0).to_pylist(), [x or "" for x in batch.column(2).to_pylist()], 0
-            while at < len(ids):
-                raw: list[bytes] = []
-                chars: list[int] = []
-                while at < len(ids) and sum(chars) < BLOCK:
-                    text = batch.column(1)[at].as_py() or ""
-                    raw.append(text.encode("utf-8", "surrogatepass"))
-                    chars.append(len(text))
-                    at += 1
+            ids, langs, at = batch.column(0), [x or "" for x in batch.column(2).to_pylist()], 0
+            for raw in blocks_of_texts(batch.column(1)):
                 words = [t.split() for t in raw]
-                if len(known) > CACHE:
-                    known.clear()
-                new = sorted({x for w in words for x in w if x not in known})
-                for k in range(0, len(new), STEP):
-                    part = new[k : k + STEP]
-                    known.update(zip(part, shared.value.scores([x.decode("utf-8", "surrogatepass") for x in part]).tolist(), strict=True))
+                counts = np.array([len(w) for w in words], np.int64)
+                # one after the other, so that a text's sum doesn't depend on its neighbours
+                sums = np.bincount(np.repeat(np.arange(len(words)), counts), scorer(words), len(words))
                 spaces = [len(t) - len(t.translate(None, SPACE)) for t in raw]
-                word_chars = [c - s for c, s in zip(chars, spaces, strict=True)]
+                chars = [len(t.as_py() or "") for t in batch.column(1)[at : at + len(raw)]]
                 lines = [[x for x in t.split(b"\n") if x.strip()] for t in raw]
-                scores = [-math.fsum(map(known.__getitem__, w)) / len(w) if w else None for w in words]
                 columns = [
-                    ids[at - len(raw) : at],
-                    langs[at - len(raw) : at],
-                    [len(w) for w in words],
-                    word_chars,
+                    ids[at : at + len(raw)],
+                    langs[at : at + len(raw)],
+                    counts.tolist(),
+                    [c - s for c, s in zip(chars, spaces, strict=True)],
                     [len(t) - len(t.translate(None, SYMBOLS)) for t in raw],
                     [len(x) - len(set(x)) for x in lines],
                     repeated_words(words).tolist(),
-                    scores,
+                    [-x / n if n else None for x, n in zip(sums.tolist(), counts.tolist(), strict=True)],
+                    [-x / (n + c - s) if n else None for x, n, c, s in zip(sums.tolist(), counts.tolist(), chars, spaces, strict=True)],
                 ]
-                types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in MEASURES.split(", ")])
+                at += len(raw)
+                types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in MEASURES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(measure, MEASURES)
 
@@ -330,12 +425,15 @@ def repeated_words(words: list[list[bytes]], size: int = REPEAT_WINDOW) -> np.nd
     return total[ends] - total[ends - counts]
 
 
-def bands(measures: DataFrame, band: float = BAND) -> DataFrame:
-    """band_lang, middle, reach: of each language the median score and half the band, from documents that pass the base rules."""
+def bands(measures: DataFrame, of: dict[str, tuple[float, float, float]] = BANDS) -> DataFrame:
+    """band_lang and for each score its median, and how far the band reaches below and above, in each language: from documents
+    that pass the base rules."""
     good = measures.where("NOT base_failed AND score IS NOT NULL")
-    middle = good.groupBy(F.col("lang").alias("band_lang")).agg(F.percentile_approx("score", 0.5, 10_000).alias("middle"))
-    spread = joined_small(good, middle).groupBy("band_lang", "middle").agg(F.percentile_approx(F.abs(F.col("score") - F.col("middle")), 0.5, 10_000).alias("distance"))
-    return spread.select("band_lang", "middle", (band * F.greatest(F.lit(FLOOR), 1.4826 * F.col("distance"))).alias("reach"))
+    middle = good.groupBy(F.col("lang").alias("band_lang")).agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"{x}_middle") for x in of))
+    distances = (F.percentile_approx(F.abs(F.col(x) - F.col(f"{x}_middle")), 0.5, 10_000).alias(f"{x}_distance") for x in of)
+    spread = joined_small(good, middle).groupBy("band_lang", *(f"{x}_middle" for x in of)).agg(*distances)
+    reach = {x: F.greatest(F.lit(floor), 1.4826 * F.col(f"{x}_distance")) for x, (_, _, floor) in of.items()}
+    return spread.select("band_lang", *(f"{x}_middle" for x in of), *((times * reach[x]).alias(f"{x}_{side}") for x, (*both, _) in of.items() for side, times in zip(("below", "above"), both, strict=True)))
 
 
 def joined_small(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
@@ -345,18 +443,21 @@ def joined_small(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(by_lang) if small else by_lang, F.col("lang") == F.col("band_lang"), "left")
 
 
-def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
+def judged(docs: DataFrame, of: dict[str, tuple[float, float, float]] = BANDS) -> DataFrame:
     """MEASURES, base_failed and kept: a row per row of docs (doc_id, text, lang)."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     measures = written(measured(docs, trained(docs)).withColumn("base_failed", base), "measures")
-    within = F.abs(F.col("score") - F.col("middle")) <= F.col("reach") * F.sqrt(1 + SHORT / F.col("n_words"))
-    out = joined_small(measures, bands(measures, band))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("band_lang", "middle", "reach")
+    found = bands(measures, of)
+    within, wider = F.lit(True), F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
+    for x in of:
+        away = F.col(x) - F.col(f"{x}_middle")
+        within = within & F.coalesce((away >= -wider * F.col(f"{x}_below")) & (away <= wider * F.col(f"{x}_above")), F.lit(True))
+    return joined_small(measures, found).withColumn("kept", ~F.col("base_failed") & within).drop(*found.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and perplexity bands over all documents."""
-    return judged(table(spark, sf_dir, "documents")).drop("lang", "score")
+    return judged(table(spark, sf_dir, "documents")).drop("lang", *BANDS)
 
 
 ORACLE: dict[str, str] = {}

@@ -328,14 +328,18 @@ def test_quality_counts(spark):
     assert quality.judged(spark.createDataFrame([], DOCS + ", lang string")).count() == 0
 
 
-def brute_kneser_ney(words_, order):
+def stream(text):
+    return "\n " + "".join(w + " " for w in text.split())
+
+
+def brute_kneser_ney(texts, order):
     """p(character, context) of an interpolated modified Kneser-Ney model, from lists of n-grams."""
-    tokens = [f" {w}\n" for w in words_]
+    tokens = [stream(t) for t in texts if t.split()]
     raw = {k: Counter(t[i : i + k] for t in tokens for i in range(len(t) - k + 1)) for k in range(1, order + 1)}
     full = {order: dict(raw[order])}
     for k in range(order - 1, 0, -1):
-        # a gram at the start of a word has nothing before it: its own count; others: how many different characters precede it
-        full[k] = {g: n for g, n in raw[k].items() if g[0] == " " and k > 1 and any(t.startswith(g) for t in tokens)}
+        # a gram at the start of a text has nothing before it: its own count; others: how many different characters precede it
+        full[k] = {g: n for g, n in raw[k].items() if g[0] == "\n" and k > 1}
         before = defaultdict(set)
         for g in full[k + 1]:
             before[g[1:]].add(g[0])
@@ -348,11 +352,15 @@ def brute_kneser_ney(words_, order):
             value = i - (i + 1) * (n[1] / (n[1] + 2 * n[2])) * n[i + 1] / n[i] if n[1] and n[i] else -1
             cut[k][i] = value if 0 < value < i else {1: 0.5, 2: 0.75, 3: 1.0}[i]
     kinds = len(full[1])
+    following = defaultdict(dict)
+    for level in full.values():
+        for g, n in level.items():
+            following[g[:-1]][g] = n
 
     def p(c, context):
         k = len(context) + 1
         lower = p(c, context[1:]) if context else 1 / (kinds + 1)
-        followers = {g: n for g, n in full[k].items() if g[:-1] == context}
+        followers = following.get(context)
         if not followers:
             return lower
         total = sum(followers.values())
@@ -362,23 +370,48 @@ def brute_kneser_ney(words_, order):
     return p, sorted(full[1])
 
 
+def scores_agree(model, texts, p):
+    """Of each text's words, one after the other and all texts together, the scores are those of the brute-force model."""
+    got = quality.Scorer(model)([t.encode().split() for t in texts]).tolist()
+    assert len(got) == sum(len(t.split()) for t in texts)
+    for text in texts:
+        s = stream(text)
+        at = 2
+        for w in text.split():
+            want = sum(math.log(p(s[i], s[max(0, i - quality.ORDER + 1) : i])) for i in range(at, at + len(w) + 1))
+            assert got.pop(0) == pytest.approx(want, rel=1e-4), (text, w)
+            at += len(w) + 1
+
+
 def test_model_against_brute_force(spark):
     rng = random.Random(5)
     words_ = ["".join(rng.choice("aaabbcd") for _ in range(rng.randrange(1, 7))) for _ in range(400)] + ["é", "日本", "日本語"]
     texts = [" ".join(words_[i : i + 50]) for i in range(0, len(words_), 50)]
     model = quality.trained(spark.createDataFrame([(t, "en") for t in texts] + [(None, "en"), ("", None)], "text string, lang string"))
-    p, alphabet = brute_kneser_ney(words_, quality.ORDER)
-    for context in ("", "a", "ab", " a", " ", "abc", "日", "zz"):
+    p, alphabet = brute_kneser_ney(texts, quality.ORDER)
+    for context in ("", "a", "ab", " a", " ", "a b", "\n ", "\n a", "abc", "日", "zz"):
         assert abs(sum(p(c, context) for c in alphabet) + p("?", context) - 1) < 1e-9
-    asked = [*words_[:60], "é", "日本語", "zq", "abz", "?", "dddddddd"]
+    scores_agree(model, [*texts[:2], "", "é 日本語 zq abz ? dddddddd", "a", " b\n a  "], p)
+    assert quality.Scorer(model)([]).size == 0
+
+
+def test_order_of_words_counts(spark):
+    """What follows what is learnt: the same words in another order score worse."""
+    rng = random.Random(8)
+    after = {w: rng.sample("kilo lima mike november oscar papa quebec romeo".split(), 2) for w in "kilo lima mike november oscar papa quebec romeo".split()}
 
-    def brute(w):
-        s = f" {w}\n"
-        return sum(math.log(p(s[i], s[max(0, i - quality.ORDER + 1) : i])) for i in range(1, len(s)))
+    def walk(n):
+        out = ["kilo"]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
 
-    for w, got in zip(asked, model.scores(asked), strict=True):
-        assert got == pytest.approx(brute(w), rel=1e-4), w
-    assert model.scores([]).size == 0
+    texts = [" ".join(walk(80)) for _ in range(60)]
+    scorer = quality.Scorer(quality.trained(spark.createDataFrame([(t,) for t in texts], "text string")))
+    for _ in range(10):
+        text = walk(80)
+        mixed_up = rng.sample(text, len(text))
+        assert scorer([[w.encode() for w in text]]).sum() > scorer([[w.encode() for w in mixed_up]]).sum() + 5
 
 
 @pytest.mark.parametrize("max_broadcast", [1 << 20, 0])
@@ -387,10 +420,7 @@ def test_model_tells_all_grams_apart(spark, max_broadcast):
     words_ = ["xbmkfy"] * 50 + ["xbijjy"] * 30 + ["xbogey"] * 20 + ["zcdigu", "zcghau", "zcdigo", "q", "qrs", "日本語語"]
     model = quality.trained(spark.createDataFrame([(w,) for w in words_], "text string"), max_broadcast=max_broadcast)
     p, _ = brute_kneser_ney(words_, quality.ORDER)
-    asked = [*sorted(set(words_)), "zcnjdu", "cnjd", "日本語", "?"]
-    for w, got in zip(asked, model.scores(asked), strict=True):
-        s = f" {w}\n"
-        assert got == pytest.approx(sum(math.log(p(s[i], s[max(0, i - quality.ORDER + 1) : i])) for i in range(1, len(s))), rel=1e-5), w
+    scores_agree(model, [*sorted(set(words_)), "zcnjdu", "cnjd", "日本語", "?"], p)
 
 
 def test_model_in_files_reaches_workers(spark):
@@ -404,7 +434,7 @@ def test_quality_on_labels(spark):
     rows = quality.judged(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
     clean = [r.kept for r in rows if r.quality == 1]
     junk = [r.kept for r in rows if r.quality == 0]
-    assert sum(clean) >= 0.99 * len(clean) and sum(junk) < 0.8 * len(junk)
+    assert sum(clean) >= 0.99 * len(clean) and sum(junk) < 0.5 * len(junk)
 
 
 def test_passages_in_another_language_are_kept(spark):
