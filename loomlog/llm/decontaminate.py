@@ -1,21 +1,24 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations alone.
 
-Phrases are windows of item words (10 by default; an item of fewer words is one phrase). First the
-frequencies of the items' terms are counted over all documents. The index then holds postings (term, doc,
-position, and the words around it) of those terms that are among the ANCHORS rarest of some phrase; postings
-of terms that no query starts from are never looked up and so aren't stored. A phrase's lists, its rarest
-terms', are shifted by the terms' offsets and intersected: a document and start that are in all of them are
-candidates, and the words around the posting then tell whether the phrase is there exactly.
-
-Words are ASCII-lower-cased runs of characters other than ASCII ones outside 0-9 and a-z. The terms and
-phrases of items travel to the documents while they take at most BROADCAST_BYTES; beyond that they are taken
-in blocks of that size, a pass each. So the text is never shuffled, only postings of rare terms are, and keys
-always hold the document, which spreads a passage that a third of all documents share.
-
-Nulls and odd rows: a null or empty text has no words and isn't hit; items without words have no phrases.
-Rows that share a doc_id share their hits; items that share an item_id are one item with the phrases of all
-of them. A null doc_id or item_id is a value like others (a null item_id isn't listed in the digest). Empty
-tables give no hits. Phrases that several items have count for each of them.
+The index holds a posting (term, doc_id, text_key, position) for every word of every document. It is written
+once, in the order of the documents, so building it shuffles nothing; it answers any benchmark, and exact
+phrases as well as proximity. Phrases are windows of item words (10 by default; an item of fewer words is one
+phrase). The index gives the frequencies of the phrases' terms. Then each phrase's lists, one for each of its
+words, are shifted by the words' offsets and intersected from the rarest on: first the FIRST rarest ones, and
+what is in both of these is looked up in the lists of all the other words, of which only postings of documents
+that are still candidates are read on. A start that is in all lists is an exact occurrence.
+
+Words are ASCII-lower-cased runs of characters other than ASCII ones outside 0-9 and a-z. The terms and lists
+of items travel to the index while they take at most BROADCAST_BYTES; beyond that they are taken in blocks of
+that size, a pass each. So neither the text nor the index is shuffled, only postings of rare terms and of
+candidate documents are, and keys always hold the document, which spreads a passage that a third of all documents
+share.
+
+Nulls and odd rows: a null or empty text has no words and isn't hit; items without words have no phrases. Rows
+that share a doc_id are told apart in the index (text_key is a hash of the text), so a phrase lies within one of
+them; they share their hits. Items that share an item_id are one item with the phrases of all of them. A null doc_id or item_id
+is a value like others (a null item_id isn't listed in the digest). Empty tables give no hits. Phrases that several
+items have count for each of them.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, table, written
 
 PHRASE = 10
-#: Rarest positions of a phrase whose postings are intersected.
-ANCHORS = 2
+#: Lists of a phrase, the rarest, that are intersected before the others are read.
+FIRST = 2
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,10 +55,20 @@ def phrases(items: DataFrame, size: int = PHRASE, item_id: str = "item_id", text
     return starts.select("item_id", F.slice("words", F.col("start"), F.lit(size)).alias("phrase")).distinct()
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, n: occurrences in all documents of the vocabulary's terms (0 where there are none)."""
-    found = docs.select(F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return vocabulary.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+def postings(docs: DataFrame) -> DataFrame:
+    """term, doc_id, text_key, position (from 0): every word of docs (doc_id, text)."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), terms(F.col("text")).alias("words"))
+    words = words.withColumn("words", F.when(F.get("words", F.lit(0)) == "", F.slice("words", F.lit(2), F.size("words"))).otherwise(F.col("words")))
+    return words.select("doc_id", "text_key", F.posexplode("words").alias("position", "term")).where("term <> ''")
+
+
+def indexed(docs: DataFrame) -> DataFrame:
+    """The positional index of docs, written to the shared folder."""
+    return written(postings(docs), "index")
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a.doc_id.eqNullSafe(b.doc_id) & (a.text_key == b.text_key)
 
 
 def blocks_of(df: DataFrame, column: str, max_bytes: int) -> list[DataFrame]:
@@ -65,87 +78,101 @@ def blocks_of(df: DataFrame, column: str, max_bytes: int) -> list[DataFrame]:
     return [df if n == 1 else df.where(F.pmod(F.xxhash64(column), F.lit(n)) == k) for k in range(n)]
 
 
-def anchors(windows: DataFrame, counts: DataFrame, number: int = ANCHORS) -> DataFrame:
-    """phrase_id, phrase, term, offset (from 0), needed: of each phrase the rarest positions, one of a term."""
-    at = windows.select("phrase_id", "phrase", F.posexplode("phrase").alias("offset", "term"))
-    at = at.groupBy("phrase_id", "phrase", "term").agg(F.min("offset").alias("offset")).join(counts, "term")
-    order = Window.partitionBy("phrase_id").orderBy("n", "offset")
-    top = at.withColumn("at", F.row_number().over(order)).where(F.col("at") <= number)
-    return top.select("phrase_id", "phrase", "term", "offset", F.max("at").over(Window.partitionBy("phrase_id")).alias("needed"))
+def united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
-def postings(docs: DataFrame, of: DataFrame, around: int) -> DataFrame:
-    """term, doc_id, position, before, near: the positional index of the terms of a small table.
+def term_counts(index: DataFrame, vocabulary: DataFrame, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """term, n: postings of the terms of a written table (0 where there are none)."""
 
-    near holds up to `around` words before the position, the word and as many after it; before says how many
-    of them stand before it.
-    """
-    at = docs.select("doc_id", terms(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode("words").alias("position", "term"))
-    from_ = F.greatest(F.col("position") - around, F.lit(0))
-    return at.join(F.broadcast(of), "term").select("term", "doc_id", "position", (F.col("position") - from_).alias("before"), F.slice("words", from_ + 1, F.lit(2 * around + 1)).alias("near"))
+    def counted(part: DataFrame) -> DataFrame:
+        found = index.select("term").join(F.broadcast(part), "term").groupBy("term").agg(F.count("*").alias("n"))
+        return part.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+
+    return united([counted(part) for part in blocks_of(vocabulary, "term", max_broadcast)])
 
 
-def intersected(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, phrase_id, start, of, exact: where the lists of all of a phrase's anchors meet. of: its words."""
+def ranked_lists(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """phrase_id, of, term, offset (from 0), nr: a list for each word of each phrase, the rarest term's first."""
+    at = windows.select("phrase_id", F.size("phrase").alias("of"), F.posexplode("phrase").alias("offset", "term")).join(counts, "term")
+    return at.select("phrase_id", "of", "term", "offset", F.row_number().over(Window.partitionBy("phrase_id").orderBy("n", "offset")).alias("nr"))
+
+
+def intersected(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """doc_id, text_key, phrase_id, of, start: where the first lists of a phrase meet, shifted by their offsets."""
     start = F.col("position") - F.col("offset")
-    shift = F.col("before") - F.col("offset") + 1
-    exact = (shift >= 1) & (F.slice("near", F.greatest(shift, F.lit(1)), F.size("phrase")) == F.col("phrase"))
-    lists = index.join(F.broadcast(wanted), "term").select("doc_id", "phrase_id", start.alias("start"), "needed", F.size("phrase").alias("of"), "offset", exact.alias("exact"))
-    met = lists.groupBy("doc_id", "phrase_id", "start", "needed", "of").agg(F.count("*").alias("n"), F.bool_or("exact").alias("exact"))
-    # repeated rows of a document post a place again, so there may be more, never fewer
-    return met.where(F.col("n") >= F.col("needed")).select("doc_id", "phrase_id", "start", "of", "exact")
+    at = index.join(F.broadcast(lists.where(F.col("nr") <= FIRST)), "term").select("doc_id", "text_key", "phrase_id", "of", start.alias("start"), F.expr("shiftleft(1, nr - 1)").alias("seen"))
+    met = at.groupBy("doc_id", "text_key", "phrase_id", "of", "start").agg(F.bit_or("seen").alias("seen"))
+    return met.where(F.bit_count("seen") == F.least(F.lit(FIRST), F.col("of"))).drop("seen")
 
 
-def find_phrases(docs: DataFrame, windows: DataFrame, size: int = PHRASE, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, phrase_id, start, of: every exact occurrence of phrases (phrase_id, phrase) in docs (doc_id, text)."""
-    windows = written(windows, "phrases")
-    vocabulary = written(windows.select(F.explode("phrase").alias("term")).distinct(), "vocabulary")
-    counted = [term_counts(docs, part) for part in blocks_of(vocabulary, "term", max_broadcast)]
-    counts = counted[0]
-    for more in counted[1:]:
-        counts = counts.union(more)
-    chosen = written(anchors(windows, written(counts, "term-counts")), "anchors")
-    out = None
-    # all anchors of a phrase are in one block
-    for part in blocks_of(chosen, "phrase_id", max_broadcast):
-        index = written(postings(docs, part.select("term").distinct(), size - 1), "postings")
-        found = intersected(index, part).where("exact").drop("exact")
-        out = found if out is None else out.union(found)
-    return out
+def of_candidates(index: DataFrame, candidates: DataFrame, vocabulary: DataFrame, max_broadcast: int) -> DataFrame:
+    """The distinct postings of documents of candidates (a written table), of the vocabulary's terms if that is small."""
+    found = written(candidates.select("doc_id", "text_key").distinct(), "candidate-documents")
+    there = index.join(F.broadcast(vocabulary), "term", "left_semi") if len(blocks_of(vocabulary, "term", max_broadcast)) == 1 else index
+    small = 40 * found.count() <= max_broadcast
+    there = there.join(F.broadcast(found) if small else found.hint("shuffle_merge"), same_document(there, found), "left_semi")
+    return there.distinct()
 
 
-def proximity(docs: DataFrame, queries: DataFrame, slop: int, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
-    """query_id, doc_id, start: documents of docs with all the distinct terms of a query (query_id, text) within `slop` words.
+def find_phrases(index: DataFrame, windows: DataFrame, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, text_key, phrase_id, start, of: every exact occurrence of phrases (phrase_id, phrase) in an index."""
+    windows = written(windows, "phrases")
+    vocabulary = written(windows.select(F.explode("phrase").alias("term")).distinct(), "vocabulary")
+    counts = written(term_counts(index, vocabulary, max_broadcast), "term-counts")
+    lists = written(ranked_lists(windows, counts), "lists")
+    out = []
+    # all lists of a phrase are in one block
+    for part in blocks_of(lists, "phrase_id", max_broadcast):
+        candidates = written(intersected(index, part), "candidates")
+        there = of_candidates(index, candidates.where(F.col("of") > FIRST), vocabulary, max_broadcast)
+        rest = F.broadcast(part.where(F.col("nr") > FIRST).select(F.col("phrase_id").alias("id"), F.col("term").alias("word"), "offset"))
+        wanted = candidates.join(rest, F.col("phrase_id") == F.col("id")).withColumn("place", F.col("start") + F.col("offset"))
+        met = wanted.join(there, same_document(wanted, there) & (wanted.word == there.term) & (wanted.place == there.position))
+        met = met.groupBy(wanted.doc_id, wanted.text_key, "phrase_id", "start", "of").agg(F.count("*").alias("n"))
+        out.append(met.where(F.col("n") == F.col("of") - FIRST).drop("n"))
+        out.append(candidates.where(F.col("of") <= FIRST).select("doc_id", "text_key", "phrase_id", "start", "of"))
+    return united(out)
+
+
+def proximity(index: DataFrame, queries: DataFrame, slop: int, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, doc_id, start: documents of an index with all the distinct terms of a query (query_id, text) within `slop` words.
 
     start is the position of a posting of the query's rarest term around which, at most slop - 1 words away,
-    the others occur within one stretch of slop words. Positions count from the first word, 0.
+    the others occur within one stretch of slop words. Positions count from the first word, 0. Rows that share a
+    doc_id share their hits here.
     """
-    docs = docs.select("doc_id", F.regexp_replace("text", "^" + DELIMITERS, "").alias("text"))
     wanted = queries.select("query_id", F.array_distinct(F.filter(terms(F.col("text")), lambda w: w != "")).alias("terms")).where("size(terms) > 0")
     wanted = written(wanted, "proximity")
     vocabulary = written(wanted.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-    counts = None
-    for part in blocks_of(vocabulary, "term", max_broadcast):
-        more = term_counts(docs, part)
-        counts = more if counts is None else counts.union(more)
-    rarest = wanted.select("query_id", "terms", F.explode("terms").alias("term")).join(written(counts, "term-counts"), "term")
-    rarest = rarest.groupBy("query_id", "terms").agg(F.min(F.struct("n", "term"))["term"].alias("term"))
-    out = None
-    for part in blocks_of(written(rarest, "rarest"), "query_id", max_broadcast):
-        index = postings(docs, part.select("term").distinct(), slop - 1)
-        near = index.join(F.broadcast(part), "term")
-        at = F.sequence(F.greatest(F.lit(1), F.col("before") + 2 - slop), F.col("before") + 1)
-        hit = F.exists(at, lambda i: F.size(F.array_except("terms", F.slice("near", i, F.lit(slop)))) == 0)
-        found = near.where(hit).select("query_id", "doc_id", F.col("position").alias("start"))
-        out = found if out is None else out.union(found)
-    return out.distinct()
-
-
-def contamination(docs: DataFrame, items: DataFrame, size: int = PHRASE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row per row of docs (doc_id, text), for items (item_id, text)."""
+    counts = written(term_counts(index, vocabulary, max_broadcast), "term-counts")
+    lists = written(ranked_lists(wanted.select(F.col("query_id").alias("phrase_id"), F.col("terms").alias("phrase")), counts), "lists")
+    out = []
+    for part in blocks_of(lists, "phrase_id", max_broadcast):
+        part = part.select(F.col("phrase_id").alias("query_id"), "of", F.col("term").alias("word"), "nr")
+        rarest = index.join(F.broadcast(part.where("nr = 1")), F.col("term") == F.col("word"))
+        found = written(rarest.select("doc_id", "text_key", "query_id", "of", F.col("position").alias("start")).distinct(), "candidates")
+        there = of_candidates(index, found, vocabulary, max_broadcast)
+        # all postings of a query's terms near each candidate, by stretches of slop words
+        near = there.join(F.broadcast(part), F.col("term") == F.col("word")).withColumn("bin", F.floor(F.col("position") / slop))
+        around = found.withColumn("bin", F.explode(F.sequence(F.floor((F.col("start") - slop + 1) / slop), F.floor((F.col("start") + slop - 1) / slop))))
+        both = around.join(near, same_document(around, near) & (around.query_id == near.query_id) & (around.bin == near.bin) & (F.abs(near.position - around.start) < slop))
+        met = both.groupBy(around.doc_id, around.text_key, around.query_id, around.of, "start").agg(F.collect_set(F.struct("position", "nr")).alias("places"))
+        stretch = lambda p: F.size(F.array_distinct(F.transform(F.filter("places", lambda q: (q.position >= p.position) & (q.position < p.position + slop)), lambda q: q.nr)))
+        holds = F.exists("places", lambda p: (p.position <= F.col("start")) & (p.position + slop > F.col("start")) & (stretch(p) == F.col("of")))
+        out.append(met.where(holds).select("query_id", "doc_id", "start"))
+    return united(out).distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = PHRASE, index: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row per row of docs (doc_id, text), for items
+    (item_id, text). index: the documents' index, if there is one already."""
     docs = docs.select("doc_id", "text")
     owned = written(phrases(items, size).withColumn("phrase_id", F.unhex(F.md5(F.array_join("phrase", " ")))), "item-phrases")
-    places = written(find_phrases(docs, owned.select("phrase_id", "phrase").distinct(), size), "places")
+    places = written(find_phrases(indexed(docs) if index is None else index, owned.select("phrase_id", "phrase").distinct()), "places")
     # words under any occurrence: each adds what reaches beyond all before it
     ends = F.max(F.col("start") + F.col("of")).over(Window.partitionBy("doc_id").orderBy("start", "of").rowsBetween(Window.unboundedPreceding, -1))
     spans = places.select("doc_id", "start", "of").distinct().withColumn("reached", F.coalesce(ends, F.lit(-1)))
