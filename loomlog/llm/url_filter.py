@@ -65,18 +65,33 @@ PATTERN_RULES = [label_rule(x) for x in LABELS]
 
 def parts(df: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
     """Add the host (ASCII lower-cased) and path of a url column; both empty for null or no ``://``."""
-    u, rest = F.col(url), F.col("_rest")
+    (name,) = fresh(df, "_rest")
+    u, rest = F.col(url), F.col(name)
     lower = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = F.when(F.instr(u, "://") > 0, F.substring(u, F.instr(u, "://") + 3, F.length(u))).otherwise("")
-    return df.withColumn("_rest", F.coalesce(cut, F.lit(""))).withColumns({host: lower, path: F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}).drop("_rest")
+    return df.withColumn(name, F.coalesce(cut, F.lit(""))).withColumns({host: lower, path: F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}).drop(name)
 
 
-def token_counts(df: DataFrame, host: str, path: str, tokens: set[str]) -> dict[str, int]:
-    """In how many rows each of the rules' tokens occurs; other tokens are not counted, so the result is as small as the rules."""
+def token_counts(df: DataFrame, host: str, path: str, tokens: set[str], max_broadcast: int = BROADCAST_BYTES) -> dict[str, int]:
+    """In how many rows each of the rules' tokens occurs; other tokens are not counted, so the result is as small as the rules.
+
+    The tokens travel to the rows, in blocks of at most max_broadcast, and are counted within tasks first, so a
+    token that a third of all rows have is a row a task."""
     spark = df.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string")
+    blocks: list[list[str]] = [[]]
+    size = 0
+    for t in sorted(tokens):
+        if size + len(t) + 64 > max_broadcast and blocks[-1]:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(t)
+        size += len(t) + 64
     found = df.select(F.explode(F.array_distinct(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z0-9]+"))).alias("token"))
-    return {r["token"]: r["n"] for r in found.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    out: dict[str, int] = {}
+    for block in blocks:
+        wanted = spark.createDataFrame([(t,) for t in block], "token string")
+        out |= {r["token"]: r["n"] for r in found.join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    return out
 
 
 class Index:
@@ -107,8 +122,8 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     """All columns of df, then host, path, rule and verdict (prefixed by _ where the names are taken).
 
     rule is the (host, path) rule that fits best, else null; verdict is that rule's action, else that of the
-    first pattern rule that fits, else default. There is no shuffle: the index travels to the rows while its
-    size, checked here, is at most max_broadcast. Larger rule lists are taken in blocks of that size, one pass
+    first pattern rule that fits, else default. Only the rules' token counts are shuffled, a row for a token and
+    task: the index travels to the rows while its size, checked here, is at most max_broadcast. Larger rule lists are taken in blocks of that size, one pass
     over the rows each, that carry the best rule so far.
     """
     host, path, rule, verdict = fresh(df, "host", "path", "rule", "verdict")
@@ -123,7 +138,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
         room -= size
     out = parts(df, url, host, path)
     order, action = fresh(out, "_order", "_action")
-    counts = token_counts(out, host, path, {t for r in rules for t in r.tokens})
+    counts = token_counts(out, host, path, {t for r in rules for t in r.tokens}, max_broadcast)
     none = F.lit(None).cast("string")
     out = out.withColumns({order: none, rule: none, action: none})
     names = out.columns
