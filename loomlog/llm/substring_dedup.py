@@ -1,7 +1,7 @@
 """Substring dedup of repeated word windows, with a count-min prefilter.
 
-Documents are laid into blocks, ranges of doc_id of about the same number of bytes. Four steps, of which the
-first, third and last read the blocks (one exchange of the texts, which Spark reuses):
+Documents are laid into blocks of about the same number of bytes by a hash of the whole row. Four steps, of which
+the first, third and last read the blocks (one exchange of the texts, which Spark reuses):
 
 1. Each block counts the hashes of its windows into a sketch of its own, DEPTH rows of as many cells as there
    are windows in all, times WIDTH. Being sparse, the sketch travels as its occupied cells, sorted and coded by
@@ -9,18 +9,21 @@ first, third and last read the blocks (one exchange of the texts, which Spark re
 2. Segment by segment, the blocks' sketches are added up (saturating at 2). As cells are shared, a sum can only
    overestimate a window's count. Back to each block goes a bit for each of its cells: 2 or more, or not.
 3. Windows of which every cell says 2 or more are estimated to be repeated; all others are surely single.
-   Of the former alone, 128-bit keys go out to be grouped exactly, again sorted, segment by segment; back
-   comes a bit for each: whether an earlier block has it.
-4. A window starts earlier elsewhere if an earlier block has it or it has an earlier place in its own block.
+   Of the former alone, 128-bit keys go out to be grouped exactly, each with the first place (doc_id, start) that
+   the block has for it, again sorted, segment by segment; back comes a bit for each: whether another block has
+   an earlier place.
+4. A window starts earlier elsewhere if another block says so or it has an earlier place in its own block.
    Words under such windows are removed.
 
 No window is lost to the sketch, no group of copies meets in one task (a block sends a window once, however
-often it holds it), and nothing depends on the number of copies.
+often it holds it), and nothing depends on the number of copies. A block exchanges a row for each segment; there
+are SEGMENTS of them in a row of the sketch for any input up to SEGMENTS << SEGMENT_BITS cells, so up to there
+rows grow in proportion to the input, and beyond it a segment's memory stays bounded instead.
 
 Nulls and odd rows: a null text has no words. Rows that share a doc_id hold the same places: none of them is
-earlier than the other, so repeated rows get equal results. A null doc_id counts as smaller than all others.
-An empty table gives an empty result. Texts are taken whole; a longer text than a block's share makes a larger
-block.
+earlier than the other, so repeated rows get equal results; they may lie in different blocks. A null doc_id counts
+as smaller than all others. An empty table gives an empty result. Texts are taken whole; a longer text than a
+block's share makes a larger block.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -42,25 +44,33 @@ WINDOW = 20
 DEPTH, WIDTH = 2, 4
 #: Text bytes of a block.
 BLOCK = 6 * 1024 * 1024
-#: Cells of a segment of the sketch, as a power of two; keys that a segment of the exact step may expect.
-CELL_BITS, KEYS = 20, 1 << 19
+#: Least number of segments of a row of the sketch, and the most cells of one, as a power of two; keys that a segment of
+#: the exact step may expect.
+SEGMENTS, SEGMENT_BITS, KEYS = 32, 24, 1 << 21
+#: Least number of cells in a row of the sketch, as a power of two.
+CELL_BITS = 20
 #: Bytes of text that a word takes at least, nearly always; only the sketch's width depends on it.
 WORD_BYTES = 5
 PART = "block long, segment long, payload binary"
+#: Stands for a null doc_id.
+NO_ID = np.iinfo(np.int64).min
 
 
 @dataclass(frozen=True)
 class Shape:
-    """window: words; cell_bits: of the cells in a row of the sketch; key_bits: of the segments of the exact step."""
+    """window: words; cell_bits: of the cells in a row of the sketch; inner_bits: of those in a segment of it; key_bits: of
+    the segments of the exact step."""
 
     window: int
     cell_bits: int
+    inner_bits: int
     key_bits: int
 
 
 def shape(total_bytes: int, window: int) -> Shape:
     words = max(1, total_bytes // WORD_BYTES)
-    return Shape(window, max(CELL_BITS, (WIDTH * words - 1).bit_length()), max(0, (words // KEYS).bit_length()))
+    cell_bits = max(CELL_BITS, (WIDTH * words - 1).bit_length())
+    return Shape(window, cell_bits, min(SEGMENT_BITS, cell_bits - (SEGMENTS - 1).bit_length()), max(0, (words // KEYS).bit_length()))
 
 
 class Block:
@@ -71,6 +81,7 @@ class Block:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
         texts = rows.column("text")
         self.ids = [ids[i] for i in order]
+        self.distinct = np.array(sorted({NO_ID if x is None else x for x in ids}), np.int64)
         words = [(texts[i].as_py() or "").encode("utf-8", "surrogatepass").split() for i in order]
         self.counts = np.array([len(w) for w in words], np.int64)
         self.words = [x for w in words for x in w]
@@ -122,9 +133,9 @@ def sketch(rows: pa.Table, s: Shape) -> pa.Table:
     number = rows.column("block")[0].as_py()
     for row in range(DEPTH):
         cell, count = np.unique(cells(block.first, row, s.cell_bits), return_counts=True)
-        segment = (cell >> np.uint64(CELL_BITS)).astype(np.int64)
+        segment = (cell >> np.uint64(s.inner_bits)).astype(np.int64)
         for a, b in stretches(segment):
-            inner = coded(cell[a:b] & np.uint64((1 << CELL_BITS) - 1))
+            inner = coded(cell[a:b] & np.uint64((1 << s.inner_bits) - 1))
             out.append((number, (row << 40) + int(segment[a]), press.compress(inner + np.packbits(count[a:b] > 1).tobytes())))
     return packed(out)
 
@@ -135,10 +146,10 @@ def cell_parts(payload: bytes, press: zstandard.ZstdDecompressor) -> tuple[np.nd
     return decoded(raw[: 4 * n]), np.unpackbits(np.frombuffer(raw[4 * n :], np.uint8), count=n)
 
 
-def added(parts: pa.Table) -> pa.Table:
+def added(parts: pa.Table, s: Shape) -> pa.Table:
     """A segment's sum over all blocks, and for each block the bits of its cells."""
     read, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    total = np.zeros(1 << CELL_BITS, np.uint8)
+    total = np.zeros(1 << s.inner_bits, np.uint8)
     column = parts.column("payload")
     for payload in column:
         cell, more = cell_parts(payload.as_py(), read)
@@ -160,17 +171,28 @@ def estimated(rows: pa.Table, bits: pa.Table, s: Shape) -> pa.Table:
     repeated = np.ones(len(block.first), bool)
     for row in range(DEPTH):
         cell, where = np.unique(cells(block.first, row, s.cell_bits), return_inverse=True)
-        segment, number_of = np.unique((cell >> np.uint64(CELL_BITS)).astype(np.int64), return_counts=True)
+        segment, number_of = np.unique((cell >> np.uint64(s.inner_bits)).astype(np.int64), return_counts=True)
         found = [np.unpackbits(np.frombuffer(read.decompress(answers[(row << 40) + int(k)].as_py()), np.uint8), count=n) for k, n in zip(segment, number_of, strict=True)]
         if found:
             repeated &= np.concatenate(found).astype(bool)[where]
     which = np.flatnonzero(repeated)
-    a, b, _, _ = keys_of(block, which)
+    a, b, _, first = keys_of(block, which)
+    doc, start = block.distinct[first >> 40], (first & (1 << 40) - 1).astype(np.uint32)
     segment = (a >> np.uint64(64 - s.key_bits)).astype(np.int64) if s.key_bits else np.zeros(len(a), np.int64)
-    out = [(number, int(segment[x]), a[x:y].tobytes() + b[x:y].tobytes()) for x, y in stretches(segment)]
+    out = [(number, int(segment[x]), (y - x).to_bytes(8, "little") + a[x:y].tobytes() + b[x:y].tobytes() + press.compress(planes(doc[x:y]) + planes(start[x:y]))) for x, y in stretches(segment)]
     return packed([*out, (number, -1 - number, press.compress(np.packbits(repeated).tobytes()))])
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers by byte planes, of which the high ones hold little."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8, n * size).reshape(size, -1).T.copy().view(kind).ravel()
+
+
 def keys_of(block: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys of some windows in order (two halves), the number of each window's key, and each key's first place."""
     a, b = block.first[which], block.second(which)
@@ -185,23 +207,26 @@ def keys_of(block: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def grouped(parts: pa.Table) -> pa.Table:
-    """For each block's keys of a segment whether a smaller block has them too. Negative segments pass through."""
+    """For each block's keys of a segment whether another block has an earlier place of them. Negative segments pass through."""
     if parts.column("segment")[0].as_py() < 0:
         return parts.select(["block", "segment", "payload"])
-    blocks, column = parts.column("block").to_pylist(), [p.as_py() for p in parts.column("payload")]
-    sizes = [len(p) // 16 for p in column]
-    a = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(column, sizes, strict=True)])
-    b = np.concatenate([np.frombuffer(p, np.uint64, n, 8 * n) for p, n in zip(column, sizes, strict=True)])
-    owner = np.repeat(np.array(blocks, np.int64), sizes)
-    order = np.lexsort((owner, b, a))
+    blocks, column, read = parts.column("block").to_pylist(), [p.as_py() for p in parts.column("payload")], zstandard.ZstdDecompressor()
+    sizes = [int.from_bytes(p[:8], "little") for p in column]
+    places = [read.decompress(p[8 + 16 * n :]) for p, n in zip(column, sizes, strict=True)]
+    a = np.concatenate([np.frombuffer(p, np.uint64, n, 8) for p, n in zip(column, sizes, strict=True)])
+    b = np.concatenate([np.frombuffer(p, np.uint64, n, 8 + 8 * n) for p, n in zip(column, sizes, strict=True)])
+    doc = np.concatenate([from_planes(p, n, np.int64) for p, n in zip(places, sizes, strict=True)])
+    start = np.concatenate([from_planes(p[8 * n :], n, np.uint32) for p, n in zip(places, sizes, strict=True)])
+    order = np.lexsort((start, doc, b, a))
     new = np.ones(len(order), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    earlier = np.empty(len(order), bool)
-    earlier[order] = ~new
+    first = order[new][np.cumsum(new) - 1]  # of each key, in order, the earliest place
+    later = np.empty(len(order), bool)
+    later[order] = (doc[order] != doc[first]) | (start[order] != start[first])
     ends = np.cumsum(sizes)
     segment = parts.column("segment")[0].as_py()
     press = zstandard.ZstdCompressor(level=1)
-    return packed([(k, segment, press.compress(np.packbits(earlier[e - n : e]).tobytes())) for k, n, e in zip(blocks, sizes, ends, strict=True)])
+    return packed([(k, segment, press.compress(np.packbits(later[e - n : e]).tobytes())) for k, n, e in zip(blocks, sizes, ends, strict=True)])
 
 
 def marked(rows: pa.Table, bits: pa.Table, s: Shape) -> tuple[Block, np.ndarray]:
@@ -230,17 +255,9 @@ def removed_substrings(docs: DataFrame, window: int = WINDOW, text_out: bool = F
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = text_bytes(docs, "text")
     s = shape(total, window)
-    bounds = np.array(boundaries(docs, total, block_bytes), np.int64)
-
-    @F.pandas_udf("long")
-    def block_of(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna().to_numpy()
-        out = np.zeros(len(doc_id), np.int64)
-        out[known] = np.searchsorted(bounds, doc_id[known].astype("int64").to_numpy(), "left")
-        return pd.Series(out)
-
-    blocks = docs.withColumn("block", block_of("doc_id")).groupBy("block")
-    estimates = blocks.applyInArrow(lambda rows: sketch(rows, s), PART).groupBy("segment").applyInArrow(added, PART)
+    number = max(1, -(-total // block_bytes))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number))).groupBy("block")
+    estimates = blocks.applyInArrow(lambda rows: sketch(rows, s), PART).groupBy("segment").applyInArrow(lambda parts: added(parts, s), PART)
     exact = blocks.cogroup(estimates.groupBy("block")).applyInArrow(lambda rows, bits: estimated(rows, bits, s), PART).groupBy("segment").applyInArrow(grouped, PART)
 
     def kept(rows: pa.Table, bits: pa.Table) -> pa.Table:
@@ -260,30 +277,6 @@ def removed_substrings(docs: DataFrame, window: int = WINDOW, text_out: bool = F
     return blocks.cogroup(exact.groupBy("block")).applyInArrow(kept, DIGEST + ", kept_text string" * text_out)
 
 
-def boundaries(docs: DataFrame, total: int, block_bytes: int) -> list[int]:
-    """Greatest doc_ids of all blocks but the last, so that each holds about block_bytes of text: quantiles of
-    doc_id make fine bins, whose bytes are added up. Two numbers a bin come to the driver, 16 bins a block."""
-    fine = 16 * max(1, total // block_bytes)
-    if fine <= 16:
-        return []
-    cuts = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (4 * fine))})
-    shared = np.array(cuts, np.int64)
-
-    @F.pandas_udf("long")
-    def bin_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared, doc_id.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy(), "left"))
-
-    sized = docs.select("doc_id", F.octet_length("text").alias("n")).groupBy(bin_of("doc_id").alias("bin")).agg(F.sum("n").alias("n")).collect()
-    sizes = {r["bin"]: r["n"] or 0 for r in sized}
-    out, held = [], 0
-    for k, cut in enumerate(cuts):
-        held += sizes.get(k, 0)
-        if held >= block_bytes:
-            out.append(cut)
-            held = 0
-    return out
-
-
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 20-word windows that start earlier elsewhere, over all documents."""
     return removed_substrings(table(spark, sf_dir, "documents"))
