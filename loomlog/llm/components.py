@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a partial-aggregated minimum and a join, written to the shared folder; no component and no
-list of links ever meets in one task or on the driver.
+list of links ever meets in one task or on the driver. The minima are written before they are joined, so that
+Spark either broadcasts them (by its own threshold) or splits the links of a hub over several tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from .common import written
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v): every node's greater (large) or not greater (small) neighbours go to the least node of its neighbourhood."""
     both = edges.select(F.col("u"), F.col("v")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     moved = both.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -14,8 +14,8 @@ of bounded size and is compared by an inverted index of its shingles, without a
 the bands find is lost to a cap, and groups of thousands of copies cost one comparison each.
 
 Nulls and odd rows: a null text, or one without words, has an empty set and is linked with nothing; its
-component is its own doc_id. Rows that share a doc_id are one node with all their links, each with its own
-n_shingles. A null doc_id has a null component and is kept. An empty table gives an empty result. Whole
+component is its own doc_id. Rows that share a doc_id are one node with the links of all their texts, each with
+its own n_shingles. A null doc_id has a null component and is kept. An empty table gives an empty result. Whole
 texts count, of any length.
 """
 
@@ -123,22 +123,22 @@ def similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     with_both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, set] = OrderedDict()
+        known: OrderedDict[str, set] = OrderedDict()
 
-        def shingles(doc: int, text: str) -> set:
-            if doc not in known:
+        def shingles(text: str) -> set:
+            if text not in known:
                 w = text.encode("utf-8", "surrogatepass").lower().split()
-                known[doc] = {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+                known[text] = {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
                 if len(known) > 64:
                     known.popitem(last=False)
-            known.move_to_end(doc)
-            return known[doc]
+            known.move_to_end(text)
+            return known[text]
 
         for batch in batches:
             us, vs = [], []
             for u, v, a, b in zip(*(batch.column(i) for i in range(4)), strict=True):
                 u, v = u.as_py(), v.as_py()
-                x, y = shingles(u, a.as_py()), shingles(v, b.as_py())
+                x, y = shingles(a.as_py()), shingles(b.as_py())
                 common = len(x & y)
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     us.append(u)
@@ -153,10 +153,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> Dat
     rows = written(signatures(docs, k), "signatures")
     keyed = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    own = keyed.join(classes, (keyed.set_key == classes.set_key) & (keyed.doc_id == classes.rep)).select("rep", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["rep", "n"])
+    own = keyed.join(classes, (keyed.set_key == classes.set_key) & (keyed.doc_id == classes.rep)).select("rep", F.col("n_shingles").alias("n"), "bands", keyed.set_key).dropDuplicates(["set_key"]).drop("set_key")
     entries = own.select(F.explode("bands").alias("band"), "rep", "n")
-    shared = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = written(entries.join(shared.select("band", "pivot"), "band"), "members")
+    # written before it is joined, so that Spark can split a large bucket's classes over several tasks
+    shared = written(entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").select("band", "pivot"), "pivots")
+    members = written(entries.join(shared, "band"), "members")
     wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = written(by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted).where("text IS NOT NULL"), "texts")
     # a doc_id that isn't the least of its class: to the class
@@ -180,6 +181,7 @@ def links_of_classes(members: DataFrame, texts: DataFrame, k: int, percent: int)
     now = members.where("rep <> pivot.rep").join(found, F.col("rep") == found.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("label"))
     labels = written(now, "labels")
     mixed_bands = labels.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+    mixed_bands = written(mixed_bands, "mixed-bands")
     left = written(labels.join(mixed_bands, "band"), "mixed")
     small, large = left.where(F.col("size") <= SMALL_BUCKET), left.where(F.col("size") > SMALL_BUCKET)
     others = small.select("band", F.col("rep").alias("v"), F.col("n").alias("b"), F.col("label").alias("label_v"))
