@@ -8,7 +8,9 @@ WARC records from them: WARC-Record-ID (a name-based UUID of URL, date and diges
 
 Archives live as files in the folder that all nodes share, written and read by Spark's own text and
 binaryFile formats, so an executor that is lost takes nothing with it. A file holds whole records of about
-``FILE_BYTES`` (or a single larger one).
+``FILE_BYTES`` (or a single larger one), each a gzip member of its own, so it can be read from any record on; the
+zero byte that the text writer adds at a file's end is padding. read_arcs reads ARC files of either version, plain
+or gzip, and convert_arcs makes WARC files of them.
 
 Nulls and odd rows: a null html is an empty payload, a null url is written as ``-``. Rows are told apart by
 page_id; rows that repeat a page_id are records of their own, and any of them may be the one that others
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import BATCH_BYTES, BROADCAST_BYTES, shared_dir, table, written
 
 #: Bytes of records, before compression, after which another archive file begins.
 FILE_BYTES = 4 * 1024 * 1024
@@ -88,8 +90,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
     A header line with another number of fields than its version has, or a length that isn't a number or runs
     past the end, raises ValueError: a truncated archive is not taken for a whole one.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gunzip(data)
+    data = b"".join(members(data))
     at, version = 0, 0
     while True:
         while data[at : at + 1] in (b"\n", b"\r"):
@@ -123,16 +124,6 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         yield ArcRecord(got.pop("url"), got.pop("ip"), got.pop("date"), got.pop("type"), body, got)
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data.lstrip(b"\0")
-    return b"".join(out)
-
-
 def iso_date(date: str) -> str:
     """WARC-Date of an ARC date of 14 digits; shorter ones (12 or 8 in old files) are filled with zeros."""
     d = (date if date.isdigit() and len(date) >= 8 else DEFAULT_DATE)[:14].ljust(14, "0")
@@ -174,23 +165,128 @@ def warc_bytes(r: WarcRecord) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in r.headers.items()).encode("utf-8", "surrogateescape") + b"\r\n" + r.block + b"\r\n\r\n"
 
 
-def read_warc(data: bytes) -> Iterator[WarcRecord]:
-    """The records of a WARC file, plain or gzip. Truncated records raise ValueError."""
-    if data[:2] == b"\x1f\x8b":
-        data = gunzip(data)
+def gzip_member(data: bytes) -> bytes:
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of a gzip file's members, one by one; of a plain file, all of it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC header at {at}")
-        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"record at {at} declares {size} bytes, {len(block)} are left")
-        yield WarcRecord(headers, block)
-        at = end + 4 + size + 4
+        if data[at] == 0:  # padding
+            at += 1
+            continue
+        d = zlib.decompressobj(31)
+        yield d.decompress(memoryview(data)[at:]) + d.flush()
+        if not d.eof:
+            raise ValueError(f"gzip member at {at} is truncated")
+        at = len(data) - len(d.unused_data)
+
+
+def read_warc(data: bytes) -> Iterator[WarcRecord]:
+    """The records of a WARC file, plain or gzip (whole records in a member). Truncated records raise ValueError."""
+    for part in members(data):
+        at = 0
+        while at < len(part):
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0 or not part.startswith(b"WARC/", at):
+                raise ValueError(f"no WARC header at {at}")
+            lines = part[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
+            headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            size = int(headers["Content-Length"])
+            block = part[end + 4 : end + 4 + size]
+            if len(block) < size:
+                raise ValueError(f"record at {at} declares {size} bytes, {len(block)} are left")
+            yield WarcRecord(headers, block)
+            at = end + 4 + size + 4
+
+
+def files_of(records: Iterator[bytes], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Archives of about file_bytes, before compression, as rows of bytes."""
+    held: list[bytes] = []
+    size = 0
+    for record in records:
+        held.append(gzip_member(record))
+        size += len(record)
+        if size >= file_bytes:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)], pa.binary())})
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)], pa.binary())})
+
+
+def write_archives(archives: DataFrame) -> str:
+    """A file for each row of archives (value binary) in a new folder of the shared one."""
+    path = f"{shared_dir(archives.sparkSession)}/warc-{uuid.uuid4().hex}"
+    # a string column is written byte by byte as it is
+    archives.select(F.col("value").cast("string")).write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def binary_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).schema("path string, modificationTime timestamp, length long, content binary").load(path)
+
+
+ARC = "file string, nr long, url string, ip string, date string, type string, body binary, extra map<string,string>"
+
+
+def read_arcs(spark: SparkSession, path: str, glob: str = "*.arc*") -> DataFrame:
+    """The records of legacy archives, by file and number in it (0: the version block, a filedesc record); extra: the fields that only
+    version 2 has. A file is read by one task, as its records can only be told apart from the start."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.map_(pa.string(), pa.string())]
+        names = [x.split()[0] for x in ARC.split(", ")]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, size = [], 0
+                for nr, r in enumerate(read_arc(content.as_py())):
+                    rows.append((name, nr, r.url, r.ip, r.date, r.type, r.body, list(r.extra.items())))
+                    size += len(r.body)
+                    if size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return binary_files(spark, path, glob).select("path", "content").mapInArrow(records, ARC)
+
+
+def convert_arcs(spark: SparkSession, path: str, glob: str = "*.arc*", file_bytes: int = FILE_BYTES) -> str:
+    """Legacy archives to gzip WARC files; returns their folder. A record's identifier is made from its file, number, URL, date and digest."""
+
+    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                record = ArcRecord(r["url"], r["ip"], r["date"], r["type"], r["body"], dict(r["extra"]))
+                yield warc_bytes(to_warc(record, f"{r['file'].rpartition('/')[2]} {r['nr']} {r['url']} {r['date']} {base32_sha1(r['body'])}"))
+
+    return write_archives(read_arcs(spark, path, glob).mapInArrow(lambda batches: files_of(converted(batches), file_bytes), "value binary"))
+
+
+WARC = "file string, nr long, type string, url string, headers map<string,string>, block binary"
+
+
+def read_warcs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """The records of WARC files, plain or gzip, by file and number in it."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for nr, r in enumerate(read_warc(content.as_py())):
+                    row = (name, nr, r.headers.get("WARC-Type"), r.headers.get("WARC-Target-URI"), list(r.headers.items()), r.block)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in WARC.split(", ")])
+
+    return binary_files(spark, path, glob).select("path", "content").mapInArrow(records, WARC)
 
 
 def page_record(page_id: int | None, url: str | None, html: bytes) -> ArcRecord:
@@ -201,52 +297,40 @@ def page_record(page_id: int | None, url: str | None, html: bytes) -> ArcRecord:
 
 
 def payload_leaders(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, payload digest and the page_id that it revisits: the largest of the rows with the same payload, where that is another.
+    """digest, leader: payloads of at least min_bytes that rows of several page_ids have, and the largest of these.
 
     Only digests are shuffled; equal payloads are combined on the map side, so a large group of copies is one row a task.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select("page_id", F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).alias("bytes")).where(F.col("page_id").isNotNull() & (F.col("bytes") >= min_bytes))
-    lead = keyed.groupBy("digest").agg(F.max("page_id").alias("leader"), F.min("page_id").alias("first")).where("leader <> first").select("digest", "leader")
-    return keyed.join(lead, "digest").where("page_id <> leader").select("page_id", "digest", "leader").distinct()
+    return keyed.groupBy("digest").agg(F.max("page_id").alias("leader"), F.min("page_id").alias("first")).where("leader <> first").select("digest", "leader")
 
 
-def write_pages(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> str:
+def write_pages(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES, max_broadcast: int = BROADCAST_BYTES) -> str:
     """Write a record per row of pages (page_id, url, html) to gzip WARC files; returns their folder.
 
-    A row's identifier comes from its page_id and payload. Each row is laid down as a legacy ARC record and converted. Rows whose payload another row of a larger
-    page_id also has, of at least min_bytes, become revisits of it.
+    A row's identifier comes from its page_id and payload. Rows are laid down as legacy archives, of version 1 and 2 in turn, and
+    converted. Rows whose payload another row of a larger page_id also has, of at least min_bytes, become revisits of it. Pages
+    are shuffled only if the leaders take over max_broadcast bytes.
     """
-    spark = pages.sparkSession
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    joined = rows.withColumn("digest", F.unhex(F.sha1("html"))).join(payload_leaders(pages, min_bytes), ["page_id", "digest"], "left")
-
-    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-
-        def flush() -> pa.RecordBatch:
-            # the text writer adds the last line break of the last record
-            out = pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)[:-2].decode("utf-8")])})
-            held.clear()
-            return out
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                legacy = write_arc([page_record(row["page_id"], row["url"], row["html"])])
-                _, record = read_arc(legacy)
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
+    leaders = written(payload_leaders(pages, min_bytes), "leaders")
+    small = 80 * leaders.count() <= max_broadcast
+    joined = rows.join(F.broadcast(leaders) if small else leaders.hint("shuffle_merge"), "digest", "left")
+    joined = joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("leader"), F.col("leader")).alias("leader"))
+
+    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for k, batch in enumerate(batches):
+            rows = batch.to_pylist()
+            _, *records = read_arc(write_arc([page_record(r["page_id"], r["url"], r["html"]) for r in rows], 1 + k % 2))
+            for row, record in zip(rows, records, strict=True):
                 names = [f"page {x} {row['digest'].hex()}" for x in (row["page_id"], row["leader"])]
                 out = to_warc(record, names[0], None if row["leader"] is None else record_id(names[1]))
                 if row["leader"] is not None:
                     out.headers["X-Refers-To-Page-Id"] = str(row["leader"])
-                held.append(warc_bytes(out))
-                if sum(map(len, held[-1:])) >= file_bytes or len(held) % 64 == 0 and sum(map(len, held)) >= file_bytes:
-                    yield flush()
-        if held:
-            yield flush()
-
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    (joined.mapInArrow(archive, "value string").write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", 1).text(path))
-    return path
+                yield warc_bytes(out)
+
+    return write_archives(joined.mapInArrow(lambda batches: files_of(converted(batches), file_bytes), "value binary"))
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -273,8 +357,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                 types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("content").mapInArrow(records, RECORD)
+    return binary_files(spark, path, "*.txt").select("content").mapInArrow(records, RECORD)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
