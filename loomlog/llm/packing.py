@@ -3,13 +3,16 @@
 Only the number of pieces of each length (at most as many numbers as a sequence has tokens) is brought
 together, so the plan is made from a summary whose size doesn't depend on the corpus:
 
-1. Large lengths, sorted, are cut into groups of equal cardinality, and each is rounded up to its group's
-   largest. For these few sizes configurations are optimised: for the largest size that is left the fullest
-   configuration is found by dynamic programming and used as often as the counts allow.
+1. Large lengths, sorted, are cut into groups of equal cardinality (GROUPS at most), and each is rounded up to its
+   group's largest. For these few sizes configurations are optimised by column generation: a linear programme over the
+   configurations found so far gives each size a price, and a knapsack of the dearest sizes is the next
+   configuration, until none is worth more than a sequence. Each is used as often as its part rounded down says; what
+   remains, less than a sequence a size, is filled by the fullest configurations of what is left.
 2. Actual lengths take the places of the rounded ones, group by group.
 3. Small lengths go, largest first, to the best fitting sequences (least room that suffices), then to new ones.
 
-Several numbers of groups are tried and the plan with the fewest sequences is kept. The plan is a list of
+Large is tried as several parts of a sequence, and so is best fit alone (no length is large), so the plan kept, with
+the fewest sequences, is never worse than best fit by falling length. The plan is a list of
 runs, "of length L, ranks a to b go to sequences s to s+b-a at offset o"; pieces find theirs by their rank
 among those of their length, which is counted in two levels (buckets, then an offset for each), never in one
 task.
@@ -35,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import kept_in_worker, table, written
 
 CAPACITY = 2048
-#: Pieces longer than this part of a sequence are large.
-LARGE = 1 / 8
-#: Numbers of groups to try.
-GROUPS = (64, 256, 2048)
+#: Pieces longer than such a part of a sequence are large; with 1 none is.
+LARGE = (1 / 4, 1 / 2, 1)
+#: Number of groups of large pieces.
+GROUPS = 64
 #: Chunks that a worker remembers; beyond it starts anew, which changes no result.
 CACHE = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -127,11 +130,11 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 class Plan:
     """Runs (length, first rank, number, first sequence, offset) that put every piece into a sequence."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int):
+    def __init__(self, counts: dict[int, int], capacity: int, part: float, groups: int = GROUPS):
         self.capacity, self.runs, self.sequences = capacity, [], 0
         self.ranks: Counter[int] = Counter()
         self.room: dict[int, deque[tuple[int, int]]] = defaultdict(deque)  # room -> runs of sequences
-        large = {x: n for x, n in counts.items() if x > capacity * LARGE and n}
+        large = {x: n for x, n in counts.items() if x > capacity * part and n}
         self.place_large(large, groups)
         for x in sorted((x for x in counts if x not in large and counts[x]), reverse=True):
             self.place_small(x, counts[x])
@@ -162,16 +165,7 @@ class Plan:
                 free -= n
                 left -= n
         demand = [sum(n for _, n in m) for m in members]
-        top = 0
-        while True:
-            while top < len(sizes) and not demand[top]:
-                top += 1
-            if top == len(sizes):
-                return
-            pattern = fullest(sizes, demand, top, self.capacity)
-            times = min(demand[k] // n for k, n in pattern.items())
-            for k, n in pattern.items():
-                demand[k] -= n * times
+        for pattern, times in configurations(sizes, demand, self.capacity):
             self.substitute([members[k] for k, n in pattern.items() for _ in range(n)], times)
 
     def substitute(self, slots: list[deque[list[int]]], times: int) -> None:
@@ -232,6 +226,61 @@ class Plan:
         return count
 
 
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations (group -> times) and how often each is used, that meet the demand of falling sizes exactly."""
+    if not sizes:
+        return []
+    m, left, out = len(sizes), list(demand), []
+    columns = np.diag([float(capacity // x) for x in sizes])
+    need = np.array(demand, float)
+    for _ in range(40 * m):
+        prices = np.linalg.solve(columns.T, np.ones(m))
+        worth, found = dearest(sizes, prices, capacity)
+        if worth <= 1 + 1e-9:
+            break
+        column = np.array([found.get(k, 0) for k in range(m)], float)
+        used, step = np.linalg.solve(columns, need), np.linalg.solve(columns, column)
+        ratio = np.where(step > 1e-9, np.maximum(used, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        columns[:, int(ratio.argmin())] = column
+    used = np.linalg.solve(columns, need)
+    for j in np.argsort(-used):
+        pattern = {k: int(round(n)) for k, n in enumerate(columns[:, j]) if n > 0.5}
+        times = min([int(used[j] + 1e-9), *(left[k] // n for k, n in pattern.items())])
+        if times > 0:
+            out.append((pattern, times))
+            for k, n in pattern.items():
+                left[k] -= n * times
+    top = 0
+    while top < m:
+        if not left[top]:
+            top += 1
+            continue
+        pattern = fullest(sizes, left, top, capacity)
+        times = min(left[k] // n for k, n in pattern.items())
+        out.append((pattern, times))
+        for k, n in pattern.items():
+            left[k] -= n * times
+    return out
+
+
+def dearest(sizes: list[int], prices: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+    """The configuration whose sizes' prices add up to most, by dynamic programming over the room."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for k, (size, price) in enumerate(zip(sizes, prices, strict=True)):
+        if price > 1e-12:
+            for at in range(size, capacity + 1, size):  # a stretch of room at a time builds on the one before
+                here, before = slice(at, min(at + size, capacity + 1)), slice(at - size, min(at, capacity + 1 - size))
+                more = best[before] + price > best[here] + 1e-12
+                best[here] = np.where(more, best[before] + price, best[here])
+                last[here] = np.where(more, k, last[here])
+    at = int(best.argmax())
+    worth, out = float(best[at]), Counter()
+    while at and last[at] >= 0:
+        out[int(last[at])] += 1
+        at -= sizes[last[at]]
+    return worth, dict(out)
+
+
 def fullest(sizes: list[int], demand: list[int], top: int, capacity: int) -> dict[int, int]:
     """The configuration with one of sizes[top] that fills a sequence most, larger sizes preferred: group -> times.
 
@@ -264,8 +313,14 @@ def fullest(sizes: list[int], demand: list[int], top: int, capacity: int) -> dic
 
 
 def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    plans = (Plan(counts, capacity, g) for g in GROUPS)
-    return min(plans, key=lambda p: p.sequences)
+    """The plan with the fewest sequences; one that no plan can better ends the search."""
+    bound, best = -(-sum(x * n for x, n in counts.items()) // capacity), None
+    for part in LARGE:
+        plan = Plan(counts, capacity, part)
+        best = plan if best is None or plan.sequences < best.sequences else best
+        if best.sequences <= bound:
+            break
+    return best
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
