@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,14 +21,20 @@ def md5_64(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 16), 16, 10).cast(U64)
 
 
-def byte_at(key: Column, i: Column) -> Column:
-    return F.conv(F.hex(F.substring(key.cast("binary"), i, F.lit(1))), 16, 10).cast("long")
+def sha64_hex(key: Column) -> Column:
+    """sha64 as 16 hexadecimal digits, which order as the numbers do."""
+    return F.substring(F.sha2(key.cast("binary"), 256), 1, 16)
+
+
+def key_bytes(key: Column) -> Column:
+    """The bytes of key as an array of numbers: each is a character of the Latin-1 reading."""
+    chars = F.split(F.decode(key.cast("binary"), "ISO-8859-1"), "")
+    return F.when(F.octet_length(key) > 0, F.transform(chars, lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def folded(key: Column, start: int, step) -> Column:
     """A 32-bit hash folded over the bytes of key."""
-    places = F.when(F.octet_length(key) > 0, F.sequence(F.lit(1), F.octet_length(key))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(start).cast("long"), lambda h, i: step(h, byte_at(key, i)).bitwiseAND(F.lit(MASK32)))
+    return F.aggregate(key_bytes(key), F.lit(start).cast("long"), lambda h, b: step(h, b).bitwiseAND(F.lit(MASK32)))
 
 
 def fnv1a(key: Column) -> Column:
@@ -83,3 +91,60 @@ def bloom_size(n: int, p: float) -> tuple[int, int]:
 
 def next_power_of_two(n: Column) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(n)))).cast("long")
+
+
+def left_trimmed(s: Column) -> Column:
+    return F.regexp_replace(s, r"^[ \t\n\x0B\f\r]+", "")
+
+
+def right_trimmed(s: Column) -> Column:
+    return F.regexp_replace(s, r"[ \t\n\x0B\f\r]+$", "")
+
+
+#: Letters of strftime patterns, as Spark's patterns have them.
+TIME_LETTERS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%j": "DDD", "%b": "MMM", "%B": "MMMM", "%%": "%"}
+
+
+def time_pattern(pattern: str) -> str:
+    """Spark's pattern of a strftime one; other letters are quoted."""
+    parts = re.split(r"(%.)", pattern)
+    if unknown := [p for p in parts[1::2] if p not in TIME_LETTERS]:
+        raise ValueError(f"no counterpart of {unknown[0]}")
+    return "".join(TIME_LETTERS[p] if i % 2 else re.sub(r"([A-Za-z]+)", r"'\1'", p) for i, p in enumerate(parts))
+
+
+def parsed_time(s: Column, pattern: str) -> Column:
+    """A time of a text in a strftime pattern; null if it doesn't fit."""
+    return F.try_to_timestamp(s, F.lit(time_pattern(pattern))).cast("timestamp_ntz")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
+
+
+def enum_name(value: Column, names: list[str], other: str = "Unknown") -> Column:
+    """The name of a number from 0."""
+    out = F.when(value == 0, names[0])
+    for i, name in enumerate(names[1:], 1):
+        out = out.when(value == i, name)
+    return out.otherwise(other)
+
+
+def random_int(low: int, high: int, seed: int | None = None) -> Column:
+    """From low to high, both in the range."""
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("long")
+
+
+def random_float(low: float, high: float, seed: int | None = None) -> Column:
+    return F.rand(seed) * (high - low) + low
+
+
+def random_string(length: int, seed: int | None = None) -> Column:
+    """ASCII letters and digits."""
+    return F.randstr(F.lit(length), F.lit(seed)) if seed is not None else F.randstr(F.lit(length))
+
+
+def random_bytes(length: int, seed: int | None = None) -> Column:
+    """Bytes from a seeded digest chain of a random number."""
+    digests = [F.unhex(F.sha2(F.concat_ws(":", F.rand(seed).cast("string"), F.lit(str(i))).cast("binary"), 256)) for i in range(-(-length // 32))]
+    return F.substring(F.concat(*digests), 1, length)

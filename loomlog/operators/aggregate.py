@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges into which distinct values are cut for running sums.
+RANGES = 64
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, buckets: int) -> DataFrame:
     """bucket, n: fixed-width buckets; what is out of range counts in the first or last."""
     at = F.floor((F.col(value) - low) / ((high - low) / buckets))
@@ -19,14 +23,16 @@ def rank_percentiles(df: DataFrame, value: str, ranks: dict[str, Column]) -> Dat
     two levels (per range of the sorted values, then over the ranges), finds the ranks without a sort in one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    # the range is a column of the row, not of how Spark deals rows out: how many of the edges, quantiles of the values, it reaches
+    edges = F.broadcast(counts.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("edges")))  # one row
+    ranged = counts.crossJoin(edges).withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("v")))).drop("edges")
     within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sums = ranged.groupBy("part").agg(F.sum("c").alias("total"), F.min("v").alias("first"))
-    before = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("total").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = ranged.withColumn("upto", F.sum("c").over(within)).join(before, F.col("part") == F.col("p"))
+    sums = ranged.groupBy("part").agg(F.sum("c").alias("total"))  # a row a range
+    before = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = ranged.withColumn("upto", F.sum("c").over(within)).join(F.broadcast(before), F.col("part") == F.col("p"))
     spans = upto.select("v", (F.col("before") + F.col("upto") - F.col("c")).alias("lo"), (F.col("before") + F.col("upto")).alias("hi"))
-    n = df.agg(F.count(value).alias("n"))
-    wanted = n.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()))).alias("w")).select("w.*")
+    total = counts.agg(F.sum("c").alias("n"))
+    wanted = total.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()))).alias("w")).select("w.name", "w.rank")
     return spans.join(F.broadcast(wanted), (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("name", F.col("v").alias("value"))
 
 
@@ -110,3 +116,62 @@ def commit_index(nodes: DataFrame) -> DataFrame:
 def failover_target(dcs: DataFrame) -> DataFrame:
     """target: the data centre with the largest healthy ratio, ties by name."""
     return dcs.agg(F.max_by("dc", F.struct("ratio", -F.col("dc"))).alias("target"))
+
+
+def counters(changes: DataFrame) -> DataFrame:
+    """name, value: sums of a counter's changes (name, delta); a counter only rises, so negative ones don't count."""
+    return changes.groupBy("name").agg(F.sum(F.greatest("delta", F.lit(0))).alias("value"))
+
+
+def gauges(changes: DataFrame) -> DataFrame:
+    """name, value: of changes (name, seq, kind: set, inc or dec; amount) the last set and what came after it."""
+    last = changes.groupBy("name").agg(F.max(F.when(F.col("kind") == "set", F.col("seq"))).alias("since"))
+    signed = F.when(F.col("kind") == "dec", -F.col("amount")).otherwise(F.col("amount"))
+    after = changes.join(last, "name").where("since IS NULL OR seq >= since")
+    return after.groupBy("name").agg(F.sum(signed).alias("value"))
+
+
+#: Weights of the meters of one, five and fifteen minutes, for a tick of five seconds.
+METERS = {"rate1": 0.08, "rate5": 0.016, "rate15": 0.005}
+
+
+def meters(counts: DataFrame, key: str, time: str, count: str, seconds: float) -> DataFrame:
+    """key, rate1, rate5, rate15, mean: exponentially weighted rates of a key's counts by tick, in order, from 0; seconds: of all ticks."""
+    series = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(time, count))).alias("s"), F.sum(count).alias("total"))
+    rate = lambda alpha: F.round(F.aggregate("s", F.lit(0.0), lambda r, x: r + alpha * (x[count].cast("double") - r)), 6)
+    return series.select(F.col(key).alias("key"), *(rate(a).alias(name) for name, a in METERS.items()), F.round(F.col("total") / seconds, 6).alias("mean"))
+
+
+def throughput(operations: Column, milliseconds: Column) -> Column:
+    """Operations per second; none in no time."""
+    return F.coalesce(F.try_divide(operations * F.lit(1000.0).cast("double"), milliseconds), F.lit(0.0))
+
+
+def ring_load(nodes: DataFrame, threshold: float) -> DataFrame:
+    """node, deviation: nodes (node, qps) whose share differs from the mean by more than a part of it; and the variance, beside each."""
+    ends = F.broadcast(nodes.agg(F.avg("qps").alias("mean"), F.var_pop("qps").alias("variance")))  # one row
+    deviation = F.try_divide(F.col("qps") - F.col("mean"), F.col("mean"))
+    rows = nodes.crossJoin(ends).select("node", F.round(deviation, 6).alias("deviation"), F.round("variance", 6).alias("variance"))
+    return rows.where(F.abs(F.col("deviation")) > threshold)
+
+
+def health_pivot(nodes: DataFrame, group: str, status: str, states: list[str], value: str) -> DataFrame:
+    """group, a count for each state, total, percent healthy (the first state) and the whole mean of a value."""
+    counts = [F.count_if(F.col(status) == s).alias(s) for s in states]
+    out = nodes.groupBy(F.col(group).alias("group")).agg(*counts, F.count("*").alias("total"), F.sum(value).alias("_sum"))
+    return out.select("group", *states, "total", F.round(F.col(states[0]) * F.lit(100.0).cast("double") / F.col("total"), 6).alias("percent"), F.expr("CAST(floor(_sum) AS BIGINT) div total").alias("mean"))
+
+
+def next_timers(timers: DataFrame, now: Column, k: int) -> DataFrame:
+    """The k timers (deadline, id) that are due next, and whether they are due now."""
+    return timers.orderBy("deadline", "id").limit(k).withColumn("due", F.col("deadline") <= now)
+
+
+def allowed_failovers(events: DataFrame, key: str, time: str, cooldown: int, most: int, window: int) -> DataFrame:
+    """Events with allowed: cooldown seconds after the event before, and with less than `most` events in the `window` seconds before."""
+    seconds = F.unix_seconds(F.col(time).cast("timestamp"))
+    order = Window.partitionBy(key).orderBy("_s")
+    gap = F.col("_s") - F.max("_s").over(order.rangeBetween(Window.unboundedPreceding, -1))
+    recent = F.count("*").over(order.rangeBetween(-window, -1))
+    rows = events.withColumn("_s", seconds)
+    return rows.withColumn("allowed", (gap.isNull() | (gap >= cooldown)) & (recent < most)).drop("_s")

@@ -88,3 +88,8 @@ def batch_limits(batch: DataFrame, max_ops: int, max_bytes: int) -> DataFrame:
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
     ok = (F.count("*").over(order) <= max_ops) & (F.sum(size).over(order) <= max_bytes)
     return batch.select("pos", "group", ok.alias("accepted"))
+
+
+def batch_order(batch: DataFrame) -> DataFrame:
+    """A batch (key, pos, ...) as engines write it: by the bytes of the key, then by arrival."""
+    return batch.orderBy("key", "pos")

@@ -1,10 +1,17 @@
-"""Scans of an ordered keyspace (key, value): point, range, prefix, pages. Predicates reach the Parquet reader."""
+"""Scans of an ordered keyspace (key, value): point, range, prefix, pages.
+
+Predicates on a stored key column reach the Parquet reader (sources.runs); those on a computed key are filters over a scan.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import last_ops
+
 
 def get(state: DataFrame, key: str) -> DataFrame:
     return state.where(F.col("key") == key)
@@ -33,15 +40,19 @@ def prefix_scan(state: DataFrame, prefix: str, *, case_sensitive: bool = True) -
 
 
 def multi_prefix_scan(state: DataFrame, prefixes: list[str], limit: int) -> DataFrame:
-    """prefix, key, value: of each prefix at most limit // len(prefixes) keys, the first in order; keys under two prefixes come twice.
-
-    Each prefix is a filtered top-k, which runs within tasks first."""
+    """position, prefix, key, value: of each prefix at most limit // len(prefixes) keys, the first in order; keys under two
+    prefixes come twice. One scan: a row is laid out for each prefix that it has, and ranked within prefixes, first within tasks."""
     each = limit // len(prefixes)
-    parts = [prefix_scan(state, p).orderBy("key").limit(each).select(F.lit(i).alias("position"), F.lit(p).alias("prefix"), "key", "value") for i, p in enumerate(prefixes)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fits = reduce(lambda a, b: a | b, (F.col("key").startswith(p) for p in prefixes))
+    asked = F.filter(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(p).alias("prefix")) for i, p in enumerate(prefixes))), lambda x: F.startswith(F.col("key"), x["prefix"]))
+    rows = state.where(fits).select(F.explode(asked).alias("p"), "key", "value").select("p.position", "p.prefix", "key", "value")
+    return rows.withColumn("nr", F.row_number().over(Window.partitionBy("position").orderBy("key"))).where(F.col("nr") <= each).drop("nr")
+
+
+def memtable(log: DataFrame, include_deleted: bool = False) -> DataFrame:
+    """key, value, op, seq of the last operations of a log in key order, tombstones too if they are asked for."""
+    rows = last_ops(log)
+    return (rows if include_deleted else rows.where("op <> 'DEL'")).orderBy("key")
 
 
 def page(state: DataFrame, after: str | None, size: int) -> DataFrame:

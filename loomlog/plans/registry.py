@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -13,31 +9,8 @@ from ..model import events_log, orders_state, read
 from ..operators import aggregate, cache, fold, lookup, scan, transaction
 from ..sources import text
 from ..streaming import streams
-
-
-@dataclass(frozen=True)
-class Query:
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
-
-
-QUERIES: dict[str, Query] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = Query(f, sql)
-        return f
-
-    return add
-
-
-LOG = "(SELECT 'user:' || user_id AS key, event_type AS value, event_id AS seq, CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'SET' END AS op, ts FROM events)"
-MODS = "(SELECT 'user:' || user_id AS key, event_type AS value, event_id AS seq, CASE event_type WHEN 'error' THEN 'DEL' WHEN 'purchase' THEN 'MOD' WHEN 'signup' THEN 'SET' END AS op, ts FROM events)"
-STATE = "(SELECT 'order:' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS key, o_orderpriority AS value FROM orders)"
-LAST = "(SELECT key, max_by(value, seq) AS value, max_by(op, seq) AS op, max(seq) AS seq FROM {} GROUP BY key)"
-SHA64 = "CAST(CAST('0x' || substr(sha256({}), 1, 16) AS UBIGINT) AS DECIMAL(20,0))"
-FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+from . import cache_plans, client_plans, function_plans, routing_plans, statistics_plans, storage_plans  # noqa: F401  they add their queries
+from .base import FNV, LAST, LOG, MODS, QUERIES, SHA64, STATE, Query, query
 
 
 # Log folding
@@ -237,15 +210,8 @@ def ring_lookup(spark, d):
     return lookup.ring_lookup(orders_state(spark, d), _ring(spark)).select("key", "node")
 
 
-@query(f"WITH {VNODES}, k AS (SELECT key, {SHA64.format('key')} AS hash FROM (SELECT key FROM {STATE} ORDER BY key LIMIT 500)), f AS (SELECT key, node, min(CASE WHEN vnode >= hash THEN CAST(vnode - hash AS HUGEINT) ELSE CAST(vnode AS HUGEINT) - CAST(hash AS HUGEINT) + CAST('18446744073709551616' AS HUGEINT) END) AS far FROM k, v GROUP BY key, node), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY far) AS nr FROM f) SELECT key, string_agg(node, ',' ORDER BY nr) AS replicas FROM r WHERE nr <= 2 GROUP BY key")
+@query(f"WITH {VNODES}, k AS (SELECT key, {SHA64.format('key')} AS hash FROM {STATE}), f AS (SELECT key, node, min(CASE WHEN vnode >= hash THEN CAST(vnode - hash AS HUGEINT) ELSE CAST(vnode AS HUGEINT) - CAST(hash AS HUGEINT) + CAST('18446744073709551616' AS HUGEINT) END) AS far FROM k, v GROUP BY key, node), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY far) AS nr FROM f) SELECT key, string_agg(node, ',' ORDER BY nr) AS replicas FROM r WHERE nr <= 2 GROUP BY key")
 def replica_set(spark, d):
-    keys = orders_state(spark, d).orderBy("key").limit(500)
-    return lookup.replica_set(keys, _ring(spark), 2).select("key", F.array_join("replicas", ",").alias("replicas"))
-
-
-@query()
-def replica_set_all(spark, d):
-    """The replica sets of all orders. Those of replica_set are the first 500 by key, as its SQL has it."""
     return lookup.replica_set(orders_state(spark, d), _ring(spark), 2).select("key", F.array_join("replicas", ",").alias("replicas"))
 
 
@@ -511,3 +477,6 @@ def heartbeat_timeout(spark, d):
 @query("SELECT user_id, event_id, count(*) OVER w = 2 AND bool_and(event_type = 'error') OVER w AS open FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 1 PRECEDING)")
 def circuit_breaker(spark, d):
     return streams.breaker(read(spark, d, "events").withColumn("failed", F.col("event_type") == "error"), "user_id", "failed", "event_id", 2)
+
+
+__all__ = ["QUERIES", "Query"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +21,13 @@ def session(name: str = "loomlog", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def workspace(spark: SparkSession, what: str) -> str:
+    """A new folder that all nodes share, in spark.checkpoint.dir; where that is unset a temporary one will do, but on one machine only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="loomlog-")
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fold import latest_wins
@@ -45,26 +47,57 @@ def write_snapshot(state: DataFrame, root: str, term: int, index: int) -> str:
     return path
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's folders, by the file system that Spark uses for it; none if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+
+
+def snapshot_names(spark: SparkSession, root: str) -> list[tuple[int, int]]:
+    """(index, term) of all snapshots, the newest first: by index, then term. No data is read."""
+    found = [(int(i.partition("=")[2]), int(t.partition("=")[2])) for t in folder_names(spark, f"{root}/snapshot") for i in folder_names(spark, f"{root}/snapshot/{t}")]
+    return sorted(found, reverse=True)
+
+
 def snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """term, index, entries of all snapshots, from the folder names."""
+    """term, index, entries of all snapshots; entries from the files' footers."""
     rows = spark.read.option("basePath", f"{root}/snapshot").parquet(f"{root}/snapshot")
     return rows.groupBy("term", "index").agg(F.count("*").alias("entries"))
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Entries of the snapshot with the greatest index, then term."""
-    top = snapshots(spark, root).orderBy(F.desc("index"), F.desc("term")).limit(1).first()
-    return read_log(spark, f"{root}/snapshot/term={top['term']}/index={top['index']}")
+    index, term = snapshot_names(spark, root)[0]
+    return read_log(spark, f"{root}/snapshot/term={term}/index={index}")
 
 
 def prunable(spark: SparkSession, root: str, keep: int) -> DataFrame:
     """term, index of all snapshots but the newest `keep`."""
-    return snapshots(spark, root).orderBy(F.desc("index"), F.desc("term")).offset(keep).select("term", "index")
+    return spark.createDataFrame([(t, i) for i, t in snapshot_names(spark, root)[keep:]], "term long, index long")
+
+
+def prune(spark: SparkSession, root: str, keep: int) -> int:
+    """Delete all snapshots but the newest `keep`; returns how many went."""
+    jvm, gone = spark.sparkContext._jvm, snapshot_names(spark, root)[keep:]
+    for index, term in gone:
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot/term={term}/index={index}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
+
+
+def snapshot_with(state: DataFrame, save: Callable[[DataFrame], None]) -> int:
+    """Hand the state to a caller's own writer; returns the number of entries that it was given."""
+    seen = Observation()
+    save(state.observe(seen, F.count("*").alias("entries")))
+    return seen.get["entries"]
 
 
-def to_json_state(state: DataFrame) -> DataFrame:
-    """json: the state as one object for each of as many rows as there are partitions of it."""
-    return state.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("json")).select("json")
+def to_json_state(state: DataFrame, entries: int = 10_000) -> DataFrame:
+    """json: the state as objects of about `entries` keys each, dealt by a hash of the key."""
+    parts = max(1, -(-state.count() // entries))
+    return state.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("p")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("json")).select("json")
 
 
 def from_json_state(rows: DataFrame) -> DataFrame:

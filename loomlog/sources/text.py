@@ -6,19 +6,21 @@ import configparser
 import json
 import tomllib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Verbs of the line protocol, by engine prefix ("", R, B, H, L would name engines; the verbs are these).
+#: Verbs of the line protocol, an engine's letter before them or not, and the most words of a line.
 VERBS = ("SET", "GET", "DEL", "MOD", "COUNT", "EXISTS")
+PREFIX = r"(?i)^[RBHL](?=(SET|GET|DEL|MOD|COUNT|EXISTS)$)"
+MAX_TOKENS = 128
 
 
-def commands(lines: DataFrame, line: str = "value") -> DataFrame:
+def commands(lines: DataFrame, line: str = "value", keep: list[str] | None = None) -> DataFrame:
     """op, key, value, valid of lines of a protocol of words between spaces; a value ends at the next space."""
     parts = F.split(F.trim(F.col(line)), " +")
-    op = F.upper(F.element_at(parts, 1))
+    op = F.upper(F.regexp_replace(F.element_at(parts, 1), PREFIX, ""))
     needs = F.when(op == "COUNT", 1).when(op.isin("SET", "MOD"), 3).otherwise(2)
-    return lines.select(op.alias("op"), F.try_element_at(parts, F.lit(2)).alias("key"), F.try_element_at(parts, F.lit(3)).alias("value"), (op.isin(*VERBS) & (F.size(parts) >= needs)).alias("valid"))
+    return lines.select(*(keep or []), op.alias("op"), F.try_element_at(parts, F.lit(2)).alias("key"), F.try_element_at(parts, F.lit(3)).alias("value"), (op.isin(*VERBS) & (F.size(parts) >= needs) & (F.size(parts) <= MAX_TOKENS)).alias("valid"))
 
 
 def json_commands(rows: DataFrame, data: str = "data") -> DataFrame:
@@ -60,12 +62,60 @@ def config_rows(spark: SparkSession, tree: dict) -> DataFrame:
     return spark.createDataFrame(out, "path string, value string")
 
 
-def export_metrics(rows: DataFrame, kind: str) -> DataFrame:
-    """line: metrics (name, type, value) as text, json or prometheus lines."""
+def export_metrics(rows: DataFrame, kind: str, keep: list[str] | None = None) -> DataFrame:
+    """line (after columns to keep): metrics (name, type, value) as text, json or prometheus lines."""
     name, value = F.col("name"), F.col("value").cast("string")
     lines: dict[str, Column] = {
         "text": F.concat(name, F.lit(": "), value),
         "json": F.to_json(F.struct("name", "type", "value")),
         "prometheus": F.concat(F.lit("# TYPE "), F.translate(name, ".-", "__"), F.lit(" "), F.col("type"), F.lit("\n"), F.translate(name, ".-", "__"), F.lit(" "), value),
     }
-    return rows.select(lines[kind].alias("line"))
+    return rows.select(*(keep or []), lines[kind].alias("line"))
+
+
+def write_tsv(state: DataFrame, path: str) -> None:
+    """key and value as tab-separated lines."""
+    state.select(F.concat_ws("\t", "key", "value")).write.text(path)
+
+
+def generated(spark: SparkSession, rows: int, seed: int = 0, keys: int | None = None, skew: float = 0.0) -> DataFrame:
+    """key, value of a data set that depends on the seed alone: keys of 8 to 32 and values of 64 to 512 characters.
+
+    With fewer keys than rows a row's key is drawn among them: evenly, or by rank to the power of -skew."""
+    at = spark.range(rows)
+    u = F.rand(seed)
+    if keys is None:
+        nr = F.col("id")
+    elif skew:
+        power = 1.0 - skew
+        top = F.lit(float(keys))
+        nr = F.floor(F.pow(top, u) - 1 if abs(power) < 1e-9 else F.pow(u * (F.pow(top, F.lit(power)) - 1) + 1, F.lit(1 / power)) - 1)
+    else:
+        nr = F.floor(u * keys)
+    at = at.withColumn("nr", F.least(nr.cast("long"), F.lit((keys or rows) - 1)))
+    digest = lambda name, i: F.md5(F.concat_ws(":", F.lit(f"{name}{i}"), F.lit(str(seed)), F.col("nr" if name == "key" else "id").cast("string")))
+    size = lambda name, low, high: F.pmod(F.xxhash64(F.lit(name), F.lit(seed), F.col("nr" if name == "key" else "id")), F.lit(high - low + 1)) + low
+    key = F.concat(F.lpad(F.hex("nr"), 8, "0"), F.substring(digest("key", 0), F.lit(1), (size("key", 8, 32) - 8).cast("int")))
+    value = F.substring(F.concat(*(digest("value", i) for i in range(16))), F.lit(1), size("value", 64, 512).cast("int"))
+    return at.select(key.alias("key"), value.alias("value"))
+
+
+def server_sent_events(lines: DataFrame, nr: str = "nr", line: str = "value") -> DataFrame:
+    """id, event, data of a stream of lines (stream, nr, value) as servers send them: an empty line ends an event; several data lines
+    are joined by line breaks; lines that begin with a colon are comments. Each stream is read in order."""
+    before = Window.partitionBy("stream").orderBy(nr).rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.withColumn("block", F.coalesce(F.sum((F.col(line) == "").cast("long")).over(before), F.lit(0)))
+    field = F.regexp_extract(line, r"^([^:]*)", 1)
+    rest = F.regexp_replace(F.col(line), r"^[^:]*:? ?", "")
+    named = parts.where(F.col(line) != "").select("stream", "block", nr, field.alias("field"), rest.alias("rest")).where("field <> ''")
+    ends = parts.where(F.col(line) == "").select("stream", "block").distinct()
+    one = lambda name: F.max_by(F.when(F.col("field") == name, F.col("rest")), F.when(F.col("field") == name, F.col(nr)))
+    data = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == "data", F.struct(nr, "rest")))), lambda x: x["rest"]), "\n")
+    return named.join(ends, ["stream", "block"], "left_semi").groupBy("stream", "block").agg(one("id").alias("id"), F.coalesce(one("event"), F.lit("message")).alias("event"), data.alias("data"), F.count_if(F.col("field") == "data").alias("n")).where("n > 0").select("stream", "id", "event", "data")
+
+
+def load_document(samples: DataFrame, time: str, order: str, k: int) -> DataFrame:
+    """json: the last k samples as one document; k bounds its size."""
+    last = samples.orderBy(F.desc(time), F.desc(order)).limit(k)
+    fields = [c for c in samples.columns if c != order]
+    return last.agg(F.to_json(F.collect_list(F.struct(*fields)), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("json"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +26,35 @@ def events_of(log: DataFrame, kinds: list[str], column: str = "op") -> DataFrame
     return log.where(F.col(column).isin(*kinds))
 
 
-def hot_windows(log: DataFrame, key: str = "key", time: str = "ts", size: str = "1 hour", late: str = "10 minutes", threshold: int = 1) -> DataFrame:
-    """start, key, n: keys with at least threshold accesses in a window. (An extension: there is event time here.)"""
+def hot_windows(log: DataFrame, key: str = "key", time: str = "ts", size: str = "1 hour", late: str = "10 minutes", threshold: int = 1, slide: str | None = None) -> DataFrame:
+    """start, key, n: keys with at least threshold accesses in a window, tumbling or (with slide) sliding. A stream drops what is later
+    than the watermark. (An extension: there is event time here.)"""
     rows = log.withWatermark(time, late) if log.isStreaming else log
-    return rows.groupBy(F.window(time, size).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select(F.col("w.start").alias("start"), "key", "n")
+    return rows.groupBy(F.window(time, size, slide).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select(F.col("w.start").alias("start"), "key", "n")
+
+
+def sessions(log: DataFrame, key: str = "key", time: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """key, start, end, n: stretches of a key's accesses without a gap."""
+    rows = log.withWatermark(time, late) if log.isStreaming else log
+    return rows.groupBy(F.session_window(time, gap).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def retained(samples: DataFrame, time: str, now: str, seconds: int) -> DataFrame:
+    """Samples of the last seconds before now."""
+    return samples.where(F.col(time) >= F.lit(now).cast("timestamp_ntz") - F.make_interval(secs=F.lit(seconds)))
+
+
+def fan_out(events: DataFrame, subscriptions: DataFrame, kind: str = "event_type") -> DataFrame:
+    """A row for each event and subscriber (subscriptions: subscriber, kind; null: every kind). Subscriptions are a small table."""
+    wanted = subscriptions.select("subscriber", F.col("kind").alias("_kind"))
+    one = events.join(F.broadcast(wanted.where("_kind IS NOT NULL")), F.col(kind) == F.col("_kind")).drop("_kind")
+    every = wanted.where("_kind IS NULL").agg(F.collect_list("subscriber").alias("s"))  # one row
+    return one.unionByName(events.crossJoin(F.broadcast(every)).withColumn("subscriber", F.explode("s")).drop("s"))
+
+
+def each_batch(log: DataFrame, path: str, f: Callable[[DataFrame, int], None]):
+    """Start a stream that hands every micro-batch to a caller's function; path: its checkpoint. Returns the query."""
+    return log.writeStream.foreachBatch(f).option("checkpointLocation", path).trigger(availableNow=True).start()
 
 
 def silent(log: DataFrame, node: str, time: str, now: str, seconds: int) -> DataFrame:
@@ -58,3 +83,40 @@ def breaker(log: DataFrame, node: str, failed: str, order: str, threshold: int)
 
     last = Window.partitionBy(node).orderBy(order).rowsBetween(1 - threshold, 0)
     return log.select(node, order, ((F.count("*").over(last) == threshold) & F.bool_and(failed).over(last)).alias("open"))
+
+
+BREAKER = "node string, at long, state string, allowed boolean"
+
+
+def breaker_states(calls: DataFrame, threshold: int, timeout: int) -> DataFrame:
+    """BREAKER: the circuit of each node after each of its calls (node, at in seconds, failed), in order.
+
+    Closed until `threshold` calls in a row failed; then open, refusing calls, for `timeout` seconds; the next call is let through
+    half-open: success closes the circuit, failure opens it again. A node's calls are replayed in order by one task, in batches, and
+    only its state is kept."""
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, state, failures, since = None, "closed", 0, 0
+        for batch in batches:
+            out = []
+            for name, at, failed in zip(batch["node"], batch["at"], batch["failed"], strict=True):
+                if name != node:
+                    node, state, failures, since = name, "closed", 0, 0
+                allowed = True
+                if state == "open":
+                    if at - since >= timeout:
+                        state = "half-open"
+                    else:
+                        allowed = False
+                if allowed:
+                    if not failed:
+                        state, failures = "closed", 0
+                    else:
+                        failures += 1
+                        if state == "half-open" or failures >= threshold:
+                            state, failures, since = "open", 0, at
+                out.append((name, at, state, allowed))
+            yield pd.DataFrame(out, columns=["node", "at", "state", "allowed"])
+
+    rows = calls.select(F.col("node").cast("string").alias("node"), F.col("at").cast("long").alias("at"), "failed")
+    return rows.repartition("node").sortWithinPartitions("node", "at", "failed").mapInPandas(replay, BREAKER)

@@ -115,5 +115,5 @@ def test_replica_sets_of_all_orders(spark):
             far[node] = min(far.get(node, 1 << 64), (at - h(key)) % (1 << 64))
         want[key] = ",".join(sorted(far, key=far.get)[:2])
     assert len(want) > 500
-    got = QUERIES["replica_set_all"].run(spark, d).collect()
+    got = QUERIES["replica_set"].run(spark, d).collect()
     assert len(got) == len(want) and {r.key: r.replicas for r in got} == want
