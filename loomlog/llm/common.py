@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that all nodes share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an
+    error, as each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomlog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,15 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it again.
 
-    The files outlive lost executors. They stay until the shared folder is emptied.
+    The files outlive lost executors. They stay until the shared folder is emptied, or clean_up() is called when no
+    result is read any more.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of tables that this process has written and not yet removed.
+_WRITTEN: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove all tables that written() has left; results that still read them can't be read after it. Returns how many went."""
+    jvm, gone = spark.sparkContext._jvm, len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows."""
     bounded_batches(df.sparkSession)

@@ -9,8 +9,8 @@ headings, items, cells and inline elements are content there even if they recur.
 itself menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go wherever they
 stand. Of a main element all other text stays, beside an article in it too.
 
-Blocks are the stretches of text between block elements; line breaks end no block. White space in a block
-becomes one space, character references are decoded, blocks are joined by a blank line.
+Blocks are the stretches of text between block elements; line breaks end no block. White space in a block (Unicode's,
+no-break spaces too) becomes one space, character references are decoded, blocks are joined by a blank line.
 
 Nulls and odd rows: a null html is an empty page, with empty text; without a host pages count as one site.
 Rows are pages each for themselves, repeated rows count as often as they stand. An empty table gives an empty
@@ -40,7 +40,7 @@ DIFFERENT = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-SPACES = re.compile(r"[ \t\n\r\f]+")
+SPACES = re.compile(r"\s+")
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -218,7 +218,7 @@ def blocks(root: Node, template: set[bytes]) -> list[str]:
     text: list[str] = []
 
     def flush() -> None:
-        if block := SPACES.sub(" ", "".join(text)).strip(" "):
+        if block := SPACES.sub(" ", "".join(text)).strip():
             out.append(block)
         text.clear()
 

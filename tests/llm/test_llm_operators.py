@@ -58,6 +58,8 @@ def test_url_filter_edges(spark):
         got = url_filter.filter_urls(rows, url_filter.HOST_RULES + url_filter.PATTERN_RULES, max_broadcast=limit).collect()
         assert [(r.rule, r.verdict) for r in sorted(got, key=lambda r: r.page_id)] == [(None, "allow"), (None, "allow"), (None, "allow"), ("example.net/en/", "allow"), (None, "allow"), ("net/", "block"), (None, "allow"), ("example.com/de/", "block"), (None, "allow"), ("org/fr/", "allow"), (None, "block"), (None, "allow")]
         assert got[3]["_host"] == "a.example.net" and got[3]["host"] == "mine"
+    clash = url_filter.filter_urls(rows.withColumnRenamed("host", "_rest"), url_filter.HOST_RULES).first()
+    assert clash["_rest"] == "mine" and clash["host"] == ""
     assert url_filter.filter_urls(rows.limit(0), url_filter.HOST_RULES).count() == 0
 
 
@@ -116,7 +118,7 @@ def test_decontamination(spark):
     assert got == {(1, 11, 10, 1, True), (2, 4, 4, 1, True), (3, 0, 0, 0, False), (4, 0, 0, 0, False), (5, 2, 0, 0, False), (None, 2, 2, 1, True), (7, 6, 3, 2, True)}
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(docs, items.limit(0)).collect()} == {0}
-    near = decontaminate.proximity(spark.createDataFrame([(1, "a b c"), (2, "a x x x b"), (3, ".b A")], DOCS), spark.createDataFrame([(7, "a b")], "query_id long, text string"), 3)
+    near = decontaminate.proximity(decontaminate.indexed(spark.createDataFrame([(1, "a b c"), (2, "a x x x b"), (3, ".b A")], DOCS)), spark.createDataFrame([(7, "a b")], "query_id long, text string"), 3)
     assert {(r.doc_id, r.start) for r in near.collect()} <= {(1, 0), (1, 1), (3, 0), (3, 1)} and {r.doc_id for r in near.collect()} == {1, 3}
 
 
@@ -128,8 +130,54 @@ def test_contamination_of_texts_that_share_a_doc_id(spark):
     assert Counter((r.doc_id, r.contaminated) for r in got) == {(1, True): 2, (None, True): 2, (2, False): 1}
 
 
+def test_hits_of_a_shared_id_are_kept(spark):
+    """A second text with one of the phrase's words at the same place neither undoes a hit nor helps to make one."""
+    item = " ".join(f"t{i}" for i in range(10))
+    other = " ".join(["x"] * 4 + ["t4"] + ["x"] * 5)
+    halves = [(8, " ".join(f"t{i}" if i % 2 == k else "x" for i in range(10))) for k in range(2)]
+    rows = [(doc, t) for doc in (5, None) for t in (item, other)] + halves
+    got = decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_hit, r.n_items) for r in got) == {(5, 10, 1): 2, (None, 10, 1): 2, (8, 0, 0): 2}
+
+
+def brute_words(text):
+    return [w for w in re.split(decontaminate.DELIMITERS, (text or "").translate(str.maketrans(decontaminate.UPPER, decontaminate.LOWER))) if w]
+
+
+def test_index_against_brute_force(spark):
+    """Few words, so that windows overlap, repeat themselves and share terms; a very long text; blocks of lists and of candidates."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice(["a", "B", "c ", "é", "d"]) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
+    docs = [(i, text(rng.randrange(0, 90))) for i in range(60)] + [(90, text(8000)), (91, None), (None, text(50)), (3, text(60))]
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 0])] + [(8, " ".join(brute_words(docs[60][1])[70:76]))]
+    frame = spark.createDataFrame(docs, DOCS)
+    got = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), size=4).collect()
+    hit, found = defaultdict(set), defaultdict(set)
+    for doc, t in docs:
+        w = brute_words(t)
+        for item, x in items:
+            x = brute_words(x)
+            for g in {tuple(x[i : i + 4]) for i in range(max(1, len(x) - 3))} if x else ():
+                for i in range(len(w) - len(g) + 1):
+                    if tuple(w[i : i + len(g)]) == g:
+                        hit[doc] |= set(range(i, i + len(g)))
+                        found[doc].add(str(item))
+    want = Counter((doc, len(brute_words(t)), len(hit[doc]), len(found[doc]), hashlib.sha256(",".join(sorted(found[doc])).encode()).hexdigest()) for doc, t in docs)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == want
+    index = decontaminate.indexed(frame)
+    queries = [(1, "a b"), (2, "a é d"), (3, "zz a"), (4, "c"), (5, "")]
+    near = decontaminate.proximity(index, spark.createDataFrame(queries, "query_id long, text string"), 3, max_broadcast=400).collect()
+    hits = set()
+    for q, x in queries:
+        x = set(brute_words(x))
+        for doc, t in docs:
+            w = brute_words(t)
+            hits |= {(q, doc) for i in range(len(w)) if x and x <= set(w[i : i + 3])}
+    assert {(r.query_id, r.doc_id) for r in near} == hits
+
+
 def test_phrase_blocks_agree(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = decontaminate.indexed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     phrases = decontaminate.phrases(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).selectExpr("unhex(md5(array_join(phrase, ' '))) AS phrase_id", "phrase").distinct()
     whole, blocks = (set(map(tuple, ((bytes(r.phrase_id), r.doc_id, r.start) for r in decontaminate.find_phrases(docs, phrases, max_broadcast=b).collect()))) for b in (1 << 24, 1 << 18))
     assert whole and whole == blocks
@@ -371,16 +419,12 @@ def brute_kneser_ney(texts, order):
 
 
 def scores_agree(model, texts, p):
-    """Of each text's words, one after the other and all texts together, the scores are those of the brute-force model."""
+    """Of texts, all together, the scores are those of the brute-force model."""
     got = quality.Scorer(model)([t.encode().split() for t in texts]).tolist()
-    assert len(got) == sum(len(t.split()) for t in texts)
-    for text in texts:
+    for text, score in zip(texts, got, strict=True):
         s = stream(text)
-        at = 2
-        for w in text.split():
-            want = sum(math.log(p(s[i], s[max(0, i - quality.ORDER + 1) : i])) for i in range(at, at + len(w) + 1))
-            assert got.pop(0) == pytest.approx(want, rel=1e-4), (text, w)
-            at += len(w) + 1
+        want = sum(math.log(p(s[i], s[max(0, i - quality.ORDER + 1) : i])) for i in range(2, len(s))) if text.split() else 0
+        assert score == pytest.approx(want, rel=1e-4), text
 
 
 def test_model_against_brute_force(spark):
@@ -411,7 +455,7 @@ def test_order_of_words_counts(spark):
     for _ in range(10):
         text = walk(80)
         mixed_up = rng.sample(text, len(text))
-        assert scorer([[w.encode() for w in text]]).sum() > scorer([[w.encode() for w in mixed_up]]).sum() + 5
+        assert scorer([[w.encode() for w in text]])[0] > scorer([[w.encode() for w in mixed_up]])[0] + 5
 
 
 @pytest.mark.parametrize("max_broadcast", [1 << 20, 0])
@@ -423,6 +467,18 @@ def test_model_tells_all_grams_apart(spark, max_broadcast):
     scores_agree(model, [*sorted(set(words_)), "zcnjdu", "cnjd", "日本語", "?"], p)
 
 
+def test_many_kinds_of_characters(spark, monkeypatch):
+    """More different characters than keys have numbers for, in one text and in all."""
+    monkeypatch.setattr(quality, "STEP", 40_000)
+    far = ["".join(map(chr, range(a, a + 30_000))) for a in (0x4E00, 0x20000, 0x30000)]
+    texts = ["ab ab abc", " ".join(far), far[0][:500], far[1][:500]]
+    known = [t for t in texts if len(t) < 600]
+    p, _ = brute_kneser_ney(known, quality.ORDER)
+    scores_agree(quality.trained(spark.createDataFrame([(t,) for t in known], "text string")), texts, p)
+    counted = {r.gram: r.n for r in quality.gram_counts(spark.createDataFrame([(texts[1],), (texts[0],)], "text string")).where("gram LIKE 'a%'").collect()}
+    assert counted == {"ab a": 2, "abc ": 1}
+
+
 def test_model_in_files_reaches_workers(spark):
     rows = spark.createDataFrame([(i, prose(random.Random(i), 40), "en") for i in range(20)], DOCS + ", lang string")
     small, large = (quality.measured(rows, quality.trained(rows, max_broadcast=limit)) for limit in (1 << 20, 0))

@@ -35,3 +35,26 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_rows_without_an_id_or_with_the_same(spark):
+    """Each row has its own verdict; of repeated rows and near copies one stays."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    text = " ".join(f"alpha{i} beta{i}" for i in range(40))
+    other = " ".join(f"gamma{i} delta{i}" for i in range(40))
+    stages = dict(pipeline.STAGES)
+
+    def left(name, rows, sf="/root/testdata/sf0.001"):
+        out = stages[name](spark, spark.createDataFrame(rows, SCHEMA), sf)
+        return sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
+
+    row = lambda doc, t, source="s": (doc, t, "en", source, 1)
+    kept = left("decontamination", [row(None, bench), row(None, other), row(5, bench), row(5, other), row(6, None), row(6, None)])
+    assert kept == sorted([(None, other, "s"), (5, other, "s"), (6, None, "s"), (6, None, "s")], key=str)
+    kept = left("near-duplicates", [row(None, text), row(7, text), row(3, text + " end"), row(3, other), row(9, other, "t"), row(8, None), row(8, None)])
+    assert kept == sorted([(3, text + " end", "s"), (3, other, "s"), (8, None, "s")], key=str)
+    assert left("near-duplicates", [row(None, text), row(None, text)]) == [(None, text, "s")]
+    rows = [tuple(r) for r in real.collect()]
+    kept = left("quality rules", [*rows, row(rows[0][0], "few words"), row(None, "few words")])
+    assert not [k for k in kept if k[1] == "few words"]
