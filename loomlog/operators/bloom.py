@@ -1,7 +1,8 @@
 """Bloom filters as tables: bits are set and tested by joins on 32,768-bit bitmaps, so no filter has to fit into one task.
 
 A key has k positions from two 32-bit halves of its MD5, by double hashing. Kinds: standard (anywhere among m
-bits), blocked (all positions in one 512-bit block), counting (a count for each position, so keys can be taken out again)
+bits), blocked (all positions in one block of 512
+bits, or of 64: a machine word), counting (a count for each position, so keys can be taken out again)
 and scalable (standard filters of growing size and falling error rate, for unknown numbers of keys).
 """
 
@@ -20,25 +21,25 @@ def halves(key: Column) -> tuple[Column, Column]:
     return (F.conv(F.substring(digest, i, 8), 16, 10).cast("long") for i in (1, 9))
 
 
-def positions(key: Column, bits: int, hashes: int, blocked: bool = False) -> Column:
+def positions(key: Column, bits: int, hashes: int, blocked: bool = False, block_bits: int = BLOCK_BITS) -> Column:
     """The distinct positions of a key among bits (from 0)."""
     a, b = halves(key)
     steps = F.sequence(F.lit(0), F.lit(hashes - 1))
     if blocked:
-        block = F.pmod(a, F.lit(max(1, bits // BLOCK_BITS))) * BLOCK_BITS
-        return F.array_distinct(F.transform(steps, lambda i: block + F.pmod(b + i.cast("long") * (F.shiftright(a, 9) * 2 + 1), F.lit(BLOCK_BITS))))
+        block = F.pmod(a, F.lit(max(1, bits // block_bits))) * block_bits
+        return F.array_distinct(F.transform(steps, lambda i: block + F.pmod(b + i.cast("long") * (F.shiftright(a, 9) * 2 + 1), F.lit(block_bits))))
     return F.array_distinct(F.transform(steps, lambda i: F.pmod(a + i.cast("long") * b, F.lit(bits))))
 
 
-def build(keys: DataFrame, bits: int, hashes: int, blocked: bool = False) -> DataFrame:
+def build(keys: DataFrame, bits: int, hashes: int, blocked: bool = False, block_bits: int = BLOCK_BITS) -> DataFrame:
     """bucket, bitmap: a filter of keys (key). Bits are distinct within tasks before they are shuffled."""
-    at = keys.select(F.explode(positions(F.col("key"), bits, hashes, blocked)).alias("position"))
+    at = keys.select(F.explode(positions(F.col("key"), bits, hashes, blocked, block_bits)).alias("position"))
     return at.groupBy(F.bitmap_bucket_number("position").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bitmap"))
 
 
-def may_contain(keys: DataFrame, bloom: DataFrame, bits: int, hashes: int, blocked: bool = False) -> DataFrame:
+def may_contain(keys: DataFrame, bloom: DataFrame, bits: int, hashes: int, blocked: bool = False, block_bits: int = BLOCK_BITS) -> DataFrame:
     """keys (key, distinct) with maybe: whether all positions of a key are set."""
-    at = keys.select("key", F.explode(positions(F.col("key"), bits, hashes, blocked)).alias("position"))
+    at = keys.select("key", F.explode(positions(F.col("key"), bits, hashes, blocked, block_bits)).alias("position"))
     at = at.withColumn("bucket", F.bitmap_bucket_number("position")).withColumn("bit", F.bitmap_bit_position("position"))
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.expr("bit div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.coalesce(F.expr("1") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)), F.lit(2)), F.lit(False))
@@ -80,3 +81,24 @@ def optimised(n: int, goal: str, p: float = 0.01) -> dict[str, object]:
     rate = {"memory": p * 2, "speed": p, "accuracy": p / 10}[goal]
     bits, hashes = bloom_size(n, rate)
     return {"kind": "blocked" if goal == "speed" else "standard", "bits": bits, "hashes": max(1, hashes - (goal == "memory")), "rate": rate, "bytes": -(-bits // 8)}
+
+
+def build_scalable(keys: DataFrame, first: int, p: float) -> list[tuple[DataFrame, int, int]]:
+    """(filter, bits, hashes) of standard filters that hold keys (key) among them; a key's filter goes by its hash, in proportion to
+    the filters' sizes."""
+    sizes = scalable_sizes(first, keys.count(), p)
+    room = sum(n for n, _, _ in sizes)
+    at, out, low = F.pmod(F.xxhash64("key"), F.lit(room)), [], 0
+    for n, bits, hashes in sizes:
+        out.append((build(keys.where((at >= low) & (at < low + n)), bits, hashes), bits, hashes))
+        low += n
+    return out
+
+
+def may_contain_any(keys: DataFrame, filters: list[tuple[DataFrame, int, int]]) -> DataFrame:
+    """keys (key, distinct) with maybe: whether one of several filters may hold a key. The filters are few: sizes double."""
+    asked = None
+    for bloom, bits, hashes in filters:
+        one = may_contain(keys, bloom, bits, hashes)
+        asked = one if asked is None else asked.unionByName(one)
+    return asked.groupBy("key").agg(F.bool_or("maybe").alias("maybe"))

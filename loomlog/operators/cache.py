@@ -1,6 +1,8 @@
-"""What a cache of bounded size holds after an access log, by policy; top-k queries, which run within tasks first.
+"""Questions of one cache over a whole access log; top-k queries, which run within tasks first.
 
-CLOCK depends on the whole history of one cache and is simulated in order, for each cache (partition) by itself.
+lru gives what a cache of bounded size holds in the end. fifo and lfu rank keys by first use and by uses over the
+whole log, evicted in between or not; what a cache holds that forgets evicted keys is replayed in `eviction`. CLOCK
+depends on the whole history of one cache and is simulated in order, for each cache (partition) by itself.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ def lru(log: DataFrame, size: int) -> DataFrame:
 
 
 def fifo(log: DataFrame, size: int) -> DataFrame:
-    """key: those that came last, by their first use."""
+    """key: the last by their first use in the log."""
     return log.groupBy("key").agg(F.min("at").alias("first")).orderBy(F.desc("first"), "key").limit(size).select("key")
 
 
 def lfu(log: DataFrame, size: int) -> DataFrame:
-    """key: the most used, the later used on ties."""
+    """key: the most used in the log, the later used on ties."""
     return log.groupBy("key").agg(F.count("*").alias("n"), F.max("at").alias("last")).orderBy(F.desc("n"), F.desc("last"), "key").limit(size).select("key")
 
 
@@ -32,6 +34,12 @@ def unexpired(entries: DataFrame, now: str, ttl_seconds: int) -> DataFrame:
     return entries.where(F.col("created") + F.make_interval(secs=F.lit(ttl_seconds)) > F.lit(now).cast("timestamp_ntz"))
 
 
+def timed(ops: DataFrame, now: str, ttl_seconds: int) -> DataFrame:
+    """key, value: what a cache with a time to live answers at now, after operations (key, value, op, at, created)."""
+    last = ops.groupBy("key").agg(F.max_by(F.struct("value", "op", "created"), "at").alias("l")).select("key", "l.*")
+    return unexpired(last.where("op <> 'DEL'"), now, ttl_seconds).select("key", "value")
+
+
 def decayed(frequencies: DataFrame) -> DataFrame:
     return frequencies.withColumn("n", F.expr("n div 2"))
 

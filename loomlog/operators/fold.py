@@ -93,3 +93,13 @@ def batch_limits(batch: DataFrame, max_ops: int, max_bytes: int) -> DataFrame:
 def batch_order(batch: DataFrame) -> DataFrame:
     """A batch (key, pos, ...) as engines write it: by the bytes of the key, then by arrival."""
     return batch.orderBy("key", "pos")
+
+
+def bounds(log: DataFrame) -> DataFrame:
+    """first, last, term: the ends of a log (idx, term), and its last term."""
+    return log.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.max_by("term", "idx").alias("term"))
+
+
+def entries(log: DataFrame, first: int, last: int) -> DataFrame:
+    """Entries from one index to another, both in the range."""
+    return log.where(F.col("idx").between(first, last))

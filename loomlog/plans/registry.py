@@ -9,7 +9,7 @@ from ..model import events_log, orders_state, read
 from ..operators import aggregate, cache, fold, lookup, scan, transaction
 from ..sources import text
 from ..streaming import streams
-from . import cache_plans, client_plans, function_plans, routing_plans, statistics_plans, storage_plans  # noqa: F401  they add their queries
+from . import cache_plans, client_plans, function_plans, placement_plans, routing_plans, statistics_plans, storage_plans  # noqa: F401  they add their queries
 from .base import FNV, LAST, LOG, MODS, QUERIES, SHA64, STATE, Query, query
 
 

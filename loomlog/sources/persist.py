@@ -14,8 +14,11 @@ def checksum() -> Column:
     return F.crc32(F.concat(F.coalesce("key", F.lit("")), F.lit("\x00"), F.coalesce("value", F.lit(""))).cast("binary"))
 
 
-def append_log(log: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Append log rows with their checksums; files rotate by number of rows."""
+def append_log(log: DataFrame, path: str, rows_per_file: int = 1_000_000, bytes_per_file: int | None = None) -> None:
+    """Append log rows with their checksums; files rotate by number of rows, or by about a number of bytes of keys and values."""
+    if bytes_per_file:
+        size = log.agg(F.avg(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0]
+        rows_per_file = max(1, int(bytes_per_file / max(size or 1, 1)))
     log.withColumn("checksum", checksum()).write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
@@ -67,6 +70,14 @@ def snapshots(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("term", "index").agg(F.count("*").alias("entries"))
 
 
+def snapshot_stats(spark: SparkSession, root: str) -> dict[str, int]:
+    """How many snapshots there are, and their bytes on disk."""
+    jvm, names = spark.sparkContext._jvm, snapshot_names(spark, root)
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot/term={t}/index={i}") for i, t in names]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return {"snapshots": len(names), "bytes": sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)}
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Entries of the snapshot with the greatest index, then term."""
     index, term = snapshot_names(spark, root)[0]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loomlog import client
 from loomlog.functions import hashing, scalar, security
-from loomlog.operators import aggregate, bloom, eviction, lookup, replication, routing
-from loomlog.sources import config, runs, text
+from loomlog.operators import aggregate, bloom, eviction, lookup, placement, replication, routing
+from loomlog.sources import config, persist, runs, text
 from loomlog.streaming import streams
 
 
@@ -261,3 +261,43 @@ def test_skewed_data_set(spark):
     rows = text.generated(spark, 3000, 1, keys=50, skew=1.2)
     top = rows.groupBy("key").count().orderBy(F.desc("count")).collect()
     assert len(top) <= 50 and top[0]["count"] > 300 and rows.exceptAll(text.generated(spark, 3000, 1, keys=50, skew=1.2)).count() == 0
+
+
+def test_shard_configurations():
+    for wrong in ({"shards": 0}, {"shards": 3, "strategy": "x"}, {"shards": 3, "strategy": "range", "splits": ("b", "a")}, {"shards": 2, "replicas": 3}, {"shards": 2, "vnodes": 0}):
+        with pytest.raises(ValueError):
+            placement.ShardConfig(**wrong)
+
+
+def test_a_ring_moves_fewer_keys(spark):
+    keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"))
+    n = {s: placement.moves(keys, placement.ShardConfig(4, s), placement.ShardConfig(5, s)).agg(F.sum("n")).first()[0] for s in ("hash", "consistent")}
+    assert n["consistent"] < 800 < n["hash"]
+    added = placement.moves(keys, placement.ShardConfig(4, "consistent"), placement.ShardConfig(5, "consistent")).select("target").distinct().collect()
+    assert [r.target for r in added] == [4]
+
+
+def test_log_rotation_and_snapshot_stats(spark, tmp_path):
+    log = spark.createDataFrame([(f"k{i:03d}", "v" * 96, i, "SET") for i in range(100)], "key string, value string, seq long, op string").coalesce(1)
+    persist.append_log(log, f"{tmp_path}/log", bytes_per_file=1000)
+    assert len(list((tmp_path / "log").glob("*.parquet"))) == 10 and persist.read_log(spark, f"{tmp_path}/log").count() == 100
+    for index in (1, 2, 3):
+        persist.write_snapshot(log.select("key", "value"), str(tmp_path), 1, index)
+    before = persist.snapshot_stats(spark, str(tmp_path))
+    assert before["snapshots"] == 3 and persist.prune(spark, str(tmp_path), 1) == 2
+    after = persist.snapshot_stats(spark, str(tmp_path))
+    assert after["snapshots"] == 1 and 0 < after["bytes"] < before["bytes"]
+
+
+def test_log_streams_into_a_log(spark, tmp_path):
+    """A log follows another one as it grows; what was copied isn't copied again."""
+    schema = "key string, value string, seq long, op string"
+
+    def grow(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        source = streams.stream(spark, f"{tmp_path}/in", schema)
+        streams.each_batch(source, f"{tmp_path}/c", lambda part, nr: persist.append_log(part, f"{tmp_path}/out")).awaitTermination(60)
+        return persist.read_log(spark, f"{tmp_path}/out").count()
+
+    assert grow([("a", "1", 1, "SET")]) == 1
+    assert grow([("a", None, 2, "DEL"), ("b", "2", 3, "SET")]) == 3
