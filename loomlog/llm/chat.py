@@ -62,6 +62,7 @@ def maximal(turns: DataFrame) -> DataFrame:
     prefixes = turns.join(sizes, turns.conv.eqNullSafe(sizes.end_conv)).select("conv", "pos", "h1", "h2", "size")
     known = prefixes.groupBy("pos", "h1", "h2").agg(F.max("size").alias("longest"), F.min(F.when(F.col("size") == F.col("pos"), F.struct(F.col("conv").isNotNull().alias("known"), "conv"))).alias("least"))
     known = known.select(*(F.col(n).alias(f"k_{n}") for n in ("pos", "h1", "h2")), "longest", F.col("least.conv").alias("least"))
+    known = written(known, "prefixes")  # so that Spark can split many equal ends over tasks
     covered = (F.col("pos") == F.col("k_pos")) & (F.col("h1") == F.col("k_h1")) & (F.col("h2") == F.col("k_h2")) & ((F.col("longest") > F.col("pos")) | ~F.col("least").eqNullSafe(F.col("end_conv")))
     return ends.join(known, covered, "left_anti").select("end_conv")
 
@@ -74,11 +75,15 @@ def rendered(role: Column, text: Column, template: str = TURN) -> Column:
     return F.concat(F.lit(head), F.coalesce(role, F.lit("")), F.lit(middle), clean, F.lit(tail))
 
 
-def chats(conversations: DataFrame, template: str = TURN) -> DataFrame:
-    """conv_id, part, n_turns, text: the maximal conversations (conv_id, turn, role, text), a row for each PART of turn numbers."""
+def chats(conversations: DataFrame, template: str = TURN, whole: bool = False) -> DataFrame:
+    """conv_id, part, n_turns, text: the maximal conversations (conv_id, turn, role, text), a row for each PART of turn numbers.
+
+    With whole, each conversation is one row with one text (and part 0), made in one task."""
     turns = written(positioned(conversations), "turns")
     kept = maximal(turns)
     rows = turns.join(kept, turns.conv.eqNullSafe(kept.end_conv), "left_semi").select("conv", "p", "pos", rendered(F.col("role"), F.col("text"), template).alias("line"))
+    if whole:
+        rows = rows.withColumn("p", F.lit(0).cast("long"))
     parts = rows.groupBy("conv", "p").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     return parts.select(F.col("conv").alias("conv_id"), F.col("p").alias("part"), F.size("lines").cast("long").alias("n_turns"), F.array_join(F.col("lines.line"), "").alias("text"))
 

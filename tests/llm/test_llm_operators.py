@@ -195,6 +195,8 @@ def test_chat_prefixes(spark):
     long = [(1, t, "user", str(t)) for t in range(2500)] + [(2, t, "user", str(t)) for t in range(2100)]
     parts = chat.chats(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")).collect()
     assert {(r.conv_id, r.part, r.n_turns) for r in parts} == {(1, 0, 1024), (1, 1, 1024), (1, 2, 452)}
+    one = chat.chats(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"), "{role}:{text};", whole=True).collect()
+    assert [(r.conv_id, r.part, r.n_turns, r.text) for r in one] == [(1, 0, 2500, "".join(f"user:{t};" for t in range(2500)))]
     assert chat.chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
