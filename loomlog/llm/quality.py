@@ -3,8 +3,7 @@
 The model is a modified Kneser-Ney model of a text's characters, its words with one space between them, so
 n-grams cross from word to word and the order of words counts. There is one model for all languages, so that a
 passage in another language than the document's is no surprise to it. Spark counts the n-grams of all documents
-(within a task words, and the seams between them, are counted first, then their n-grams, then the sums over all
-tasks), continuation counts and back-off weights come from these counts by joins, discounts from five sums for
+(within a task first, then the sums over all tasks), continuation counts and back-off weights come from these counts by joins, discounts from five sums for
 each order, and the probabilities end in a trie of sorted arrays, one level for each order: an n-gram's key is
 the place of its first n - 1 characters in the level before and its last character, so n-grams are told apart
 exactly, however many there are, and one that never occurred is never found. The arrays take 16 bytes an n-gram.
@@ -49,10 +48,10 @@ START = "\n"
 CHAR_BITS = 21
 #: Largest model that is broadcast.
 MODEL_BYTES = 96 * 1024 * 1024
-#: Words and n-grams that a task holds before it passes its counts on.
-HELD_WORDS, HELD_GRAMS = 200_000, 400_000
-#: Scores of words that a worker remembers.
-CACHE = 400_000
+#: N-grams that a task holds before it passes its counts on.
+HELD_GRAMS = 1_000_000
+#: Scores of windows that a worker remembers.
+CACHE = 1_000_000
 #: Of each score: how far the band reaches below and above the median, in scaled median distances; and the least distance,
 #: in units of log perplexity.
 BANDS = {"score": (5.0, 5.0, 0.1), "char_score": (7.0, 3.5, 0.01)}
@@ -60,71 +59,72 @@ BANDS = {"score": (5.0, 5.0, 0.1), "char_score": (7.0, 3.5, 0.01)}
 SHORT = 100
 REPEAT_WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
-#: Words that are scored together.
-STEP = 10_000
+#: Characters that are handled together; fewer than there are numbers for in a key, so any part of a text fits.
+STEP = 50_000
 #: Text bytes that are handled together.
 BLOCK = 500_000
 
 
-class Words(dict):
-    """Numbers of words, in the order in which they came, with the numbers of their tails and heads: the last characters of
-    the word behind its space, and the first ones before the space that follows, as far as an n-gram reaches."""
+class Alphabet:
+    """Numbers, from 1, of the characters met so far, and keys of the windows of `order` characters made of them."""
 
     def __init__(self, order: int):
-        self.reach, self.list, self.tail, self.head = order - 2, [], [], []
-        self.affixes: list[str] = [START]
-        self.numbers = {START: 0}
-
-    def __missing__(self, word: bytes) -> int:
-        s = f" {word.decode('utf-8', 'surrogatepass')} "
-        for to, affix in ((self.tail, s[-1 - self.reach : -1]), (self.head, s[1 : 1 + self.reach])):
-            number = self.numbers.setdefault(affix, len(self.affixes))
-            if number == len(self.affixes):
-                self.affixes.append(affix)
-            to.append(number)
-        self.list.append(s)
-        self[word] = len(self.list) - 1
-        return self[word]
-
-    def seams(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """A number for each word (in the order of texts): the tail of the word before and its own head. firsts: places of texts' first words."""
-        tails, heads = np.array(self.tail, np.int64), np.array(self.head, np.int64)
-        before = np.zeros(len(ids), np.int64)
-        before[1:] = tails[ids[:-1]]
-        before[firsts] = 0
-        return before << 32 | heads[ids]
-
-    def seam(self, number: int) -> tuple[str, int]:
-        """The characters of a seam, and how many of them are given."""
-        tail, head = self.affixes[number >> 32], self.affixes[number & (1 << 32) - 1]
-        return f"{tail} {head}", len(tail) + 1
-
-
-def first_places(words: list[list[bytes]]) -> np.ndarray:
-    """Where each text that has words begins, if they are laid end to end."""
-    counts = np.array([len(w) for w in words], np.int64)
-    return (np.cumsum(counts) - counts)[counts > 0]
-
-
-def numbered(known: Words, words: list[list[bytes]]) -> np.ndarray:
-    return np.fromiter((known[x] for w in words for x in w), np.int64, sum(map(len, words)))
-
-
-def add_grams(known: Words, times: np.ndarray, seams: dict[int, int], order: int, to: dict[str, int]) -> None:
-    """Add the n-grams of words (how often each came) and of the seams between them, and the shorter ones of texts' starts."""
-    get = to.get
-    for s, n in zip(known.list, times.tolist(), strict=True):
-        for i in range(len(s) - order + 1):
-            g = s[i : i + order]
-            to[g] = get(g, 0) + n
-    for number, n in seams.items():
-        s, given = known.seam(number)
-        if s[0] == START:
-            for k in range(2, min(order, len(s) + 1)):
-                to[s[:k]] = get(s[:k], 0) + n
-        for end in range(max(given + 1, order), len(s) + 1):
-            g = s[end - order : end]
-            to[g] = get(g, 0) + n
+        self.order, self.bits = order, 64 // order
+        self.number, self.points = np.zeros(0x110000, np.uint32), np.zeros(1, np.uint32)
+
+    def has_room(self, points: np.ndarray) -> bool:
+        """Enter the characters, if there are numbers left for all of them."""
+        new = np.unique(points[self.number[points] == 0])
+        if len(self.points) + len(new) > 1 << self.bits:
+            return False
+        self.number[new] = np.arange(len(self.points), len(self.points) + len(new))
+        self.points = np.concatenate((self.points, new.astype(np.uint32)))
+        return True
+
+    def keys(self, points: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places from `first` on that follow a text's start and the space behind it, and the keys of the windows that end there; a
+        window doesn't reach beyond its text's start."""
+        own = self.number[points].astype(np.uint64)
+        starts = points == ord(START)
+        key, open_ = own[first:].copy(), ~starts[first:]
+        given = np.zeros(len(key), bool)
+        for back in range(1, self.order):
+            at = first - back
+            before = own[max(at, 0) : len(own) - back]
+            start = starts[max(at, 0) : len(own) - back]
+            if at < 0:
+                before, start = (np.concatenate((np.zeros(-at, x.dtype), x)) for x in (before, start))
+            key |= np.where(open_, before, 0) << np.uint64(self.bits * back)
+            if back == 1:
+                given = start
+            open_ &= ~start
+        at = np.flatnonzero(~starts[first:] & ~given)
+        return at + first, key[at]
+
+    def grams(self, keys: np.ndarray) -> list[str]:
+        """The windows that keys stand for."""
+        backs = np.arange(self.order - 1, -1, -1).astype(np.uint64) * np.uint64(self.bits)
+        numbers = (keys[:, None] >> backs) & np.uint64((1 << self.bits) - 1)
+        text = np.where(numbers > 0, self.points[numbers.astype(np.int64)], 0x20).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        skip = (numbers == 0).sum(axis=1).tolist()
+        return [text[self.order * i + k : self.order * i + self.order] for i, k in enumerate(skip)]
+
+
+def streams(words: list[list[bytes]]) -> np.ndarray:
+    """The characters of texts that have words, end to end: a start, and a space before, between and behind the words."""
+    return code_points(b"".join(b"\n " + b" ".join(w) + b" " for w in words if w).decode("utf-8", "surrogatepass")).astype(np.uint32)
+
+
+def slices(points: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """points in parts of at most STEP, each with what a window may reach back to; where the own part begins in it, and in all."""
+    for at in range(0, len(points), STEP):
+        before = max(0, at - order + 1)
+        yield points[before : at + STEP], at - before, at
+
+
+def merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(which, np.concatenate(times), len(found)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -132,32 +132,36 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_in_worker("counts", dict)
-        grams: dict[str, int] = {}
-        known, times, seams = Words(order), np.zeros(0, np.int64), Counter()
+        alphabet, texts, pending = Alphabet(order), 0, 0
+        keys, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
-            grams.clear()
-            return out
+            found, n = merged(keys, times)
+            del keys[1:], times[1:]
+            keys[0], times[0] = np.empty(0, np.uint64), np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(alphabet.grams(found), pa.string()), pa.array(n)], ["gram", "n"])
 
         for batch in batches:
-            for texts in blocks_of_texts(batch.column(0)):
-                words = [t.split() for t in texts]
-                ids = numbered(known, words)
-                if not len(ids):
-                    continue
-                now = np.bincount(ids, minlength=len(known.list))
-                now[: len(times)] += times
-                times = now
-                found, n = np.unique(known.seams(ids, first_places(words)), return_counts=True)
-                seams.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
-                if len(known) > HELD_WORDS or len(seams) > HELD_GRAMS:
-                    add_grams(known, times, seams, order, grams)
-                    known, times, seams = Words(order), np.zeros(0, np.int64), Counter()
-                    if len(grams) > HELD_GRAMS:
+            for raw in blocks_of_texts(batch.column(0)):
+                words = [t.split() for t in raw]
+                texts += sum(map(bool, words))
+                for points, first, _ in slices(streams(words), order):
+                    if not alphabet.has_room(points):
+                        yield flush()
+                        alphabet = Alphabet(order)
+                        alphabet.has_room(points)
+                    found, n = np.unique(alphabet.keys(points, first)[1], return_counts=True)
+                    keys.append(found)
+                    times.append(n)
+                    pending += len(found)
+                if pending > HELD_GRAMS:
+                    keys[:], times[:] = ([x] for x in merged(keys, times))
+                    pending = 0
+                    if len(keys[0]) > HELD_GRAMS:
                         yield flush()
-        add_grams(known, times, seams, order, grams)
         yield flush()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([START + " "]), pa.array([texts], pa.int64())], ["gram", "n"])
 
     return docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -272,34 +276,41 @@ class Model:
 
 
 class Scorer:
-    """Scores of texts' words: what lies within a word is scored once for the word, its first characters once for each
-    head and tail of the word before."""
+    """Scores of texts. A character's probability depends on the window that ends with it; each window is scored once."""
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.inner = Words(self.model.order), np.empty(0)
-        self.known, self.of_known = np.empty(0, np.int64), np.empty(0)
+        self.alphabet = Alphabet(self.model.order)
+        self.known, self.of_known = np.empty(0, np.uint64), np.empty(0)
+
+    def of_keys(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, keys)
+        missed = np.ones(len(keys), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != keys
+        if missed.any():
+            new = np.unique(keys[missed])
+            grams = self.alphabet.grams(new)
+            place = np.searchsorted(self.known, new)
+            self.of_known = np.insert(self.of_known, place, self.model.scores(grams, np.array([len(g) - 1 for g in grams])))
+            self.known = np.insert(self.known, place, new)
+            at = np.searchsorted(self.known, keys)
+        return self.of_known[at]
 
     def __call__(self, words: list[list[bytes]]) -> np.ndarray:
-        """log p of each word of texts laid end to end, given the word before; the space behind it is included."""
-        if max(len(self.words), len(self.known)) > CACHE:
-            self.forget()
-        ids = numbered(self.words, words)
-        for k in range(len(self.inner), len(self.words.list), STEP):
-            part = self.words.list[k : k + STEP]
-            given = np.full(len(part), self.model.order - 1)
-            self.inner = np.concatenate((self.inner, self.model.scores(part, given)))
-        seams = self.words.seams(ids, first_places(words)) if len(ids) else np.empty(0, np.int64)
-        new = np.setdiff1d(seams, self.known)
-        for k in range(0, len(new), STEP):
-            strings, given = zip(*(self.words.seam(x) for x in new[k : k + STEP].tolist()), strict=True)
-            at = np.searchsorted(self.known, new[k : k + STEP])
-            self.of_known = np.insert(self.of_known, at, self.model.scores(list(strings), np.array(given)))
-            self.known = np.insert(self.known, at, new[k : k + STEP])
-        return self.inner[ids] + (self.of_known[np.searchsorted(self.known, seams)] if len(ids) else 0.0)
+        """log p of the words of each text, and of the spaces behind them."""
+        out = np.zeros(len(words))
+        full = np.flatnonzero([bool(w) for w in words])
+        all_points = streams(words)
+        text = np.cumsum(all_points == ord(START)) - 1
+        for points, first, at in slices(all_points, self.model.order):
+            if len(self.known) > CACHE or not self.alphabet.has_room(points):
+                self.forget()
+                self.alphabet.has_room(points)
+            places, keys = self.alphabet.keys(points, first)
+            np.add.at(out, full[text[places - first + at]], self.of_keys(keys))  # one after the other, whatever stands beside a text
+        return out
 
 
 def mapped(path: str, kind: type) -> np.ndarray:
@@ -385,8 +396,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
             for raw in blocks_of_texts(batch.column(1)):
                 words = [t.split() for t in raw]
                 counts = np.array([len(w) for w in words], np.int64)
-                # one after the other, so that a text's sum doesn't depend on its neighbours
-                sums = np.bincount(np.repeat(np.arange(len(words)), counts), scorer(words), len(words))
+                sums = scorer(words)
                 spaces = [len(t) - len(t.translate(None, SPACE)) for t in raw]
                 chars = [len(t.as_py() or "") for t in batch.column(1)[at : at + len(raw)]]
                 lines = [[x for x in t.split(b"\n") if x.strip()] for t in raw]
