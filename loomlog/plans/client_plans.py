@@ -10,7 +10,7 @@ from ..operators import fold, transaction
 from .base import LAST, LOG, STATE, query
 
 
-@query(f"SELECT e AS engine, CASE WHEN e = 'rbtree' THEN (SELECT sum(seq) FROM (WITH l AS {LOG}, g AS (SELECT key, max(seq) FILTER (op = 'DEL') AS gone FROM l GROUP BY key) SELECT min(seq) AS seq FROM l JOIN g ON g.key = l.key WHERE op = 'SET' AND (gone IS NULL OR seq > gone) GROUP BY l.key)) ELSE (SELECT sum(seq) FROM {LAST.format(LOG)} WHERE op <> 'DEL') END AS seqs FROM (SELECT unnest({list(ENGINES)}) AS e)")
+@query(f"SELECT e AS engine, CASE WHEN e = 'rbtree' THEN (SELECT CAST(sum(seq) AS BIGINT) FROM (WITH l AS {LOG}, g AS (SELECT key, max(seq) FILTER (op = 'DEL') AS gone FROM l GROUP BY key) SELECT min(seq) AS seq FROM l JOIN g ON g.key = l.key WHERE op = 'SET' AND (gone IS NULL OR seq > gone) GROUP BY l.key)) ELSE (SELECT CAST(sum(seq) AS BIGINT) FROM {LAST.format(LOG)} WHERE op <> 'DEL') END AS seqs FROM (SELECT unnest({list(ENGINES)}) AS e)")
 def engine_dispatch(spark, d):
     log, out = events_log(spark, d), None
     for name in ENGINES:
