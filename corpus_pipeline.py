@@ -19,9 +19,9 @@ from loomlog.llm.common import by_ids, fresh, table, written
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a hash of the whole row, and that column's name."""
+    """docs with a hash of the whole row (but for maps and variants, which have no hash), and that column's name."""
     (name,) = fresh(docs, "row_key")
-    return docs.withColumn(name, F.xxhash64(*docs.columns)), name
+    return docs.withColumn(name, F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))), name
 
 
 def without(rows: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
