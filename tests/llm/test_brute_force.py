@@ -145,6 +145,13 @@ def test_html_query(spark, tmp_path):
     assert {r.page_id: r.text for r in by_host.collect()} == {i: r.text for i, r in got.items()}
 
 
+def test_html_of_any_length_and_depth(spark):
+    long, deep = "<article><p>" + "word &amp; " * 60_000 + "</article>", "<div>" * 5_000 + "<p>at the bottom</p>" + "</div>" * 5_000
+    rows = [(1, "http://h.org/1", long), (2, "http://h.org/2", deep), (2, "http://h.org/2", deep)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.n_chars) for r in got) == {(1, 7 * 60_000 - 1): 1, (2, 13): 2}
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_legacy_archives(spark, tmp_path, packed):
     """Files of both versions are read by Spark and become WARC files, record for record."""
