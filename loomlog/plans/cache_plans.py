@@ -35,12 +35,29 @@ def fifo_replay(spark, d):
     return eviction.replayed(_accesses(spark, d), "FIFO", SIZE)
 
 
-@query()
+def _structs(empty, step, last):
+    """A replay over a list of structs; last: its keys in the policy's order in the end."""
+    return f"""WITH RECURSIVE a AS (SELECT CAST(user_id % 3 AS VARCHAR) AS cache, 'k' || (user_id * 7 % 40 + event_id % 3) AS key, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS nr FROM events),
+f AS (SELECT cache, CAST(0 AS BIGINT) AS nr, {empty} AS held FROM (SELECT DISTINCT cache FROM a)
+  UNION ALL SELECT a.cache, a.nr, {step} FROM f JOIN a ON a.cache = f.cache AND a.nr = f.nr + 1),
+l AS (SELECT cache, {last} AS held FROM (SELECT cache, max_by(held, nr) AS held FROM f GROUP BY cache))
+SELECT cache, unnest(held) AS key, CAST(unnest(range(len(held))) AS INTEGER) AS position FROM l"""
+
+
+_HELD = "list_contains(list_transform(held, lambda x: x.k), key)"
+_NEW_LFU = "{'n': CAST(0 AS BIGINT), 't': a.nr, 'k': key}"
+
+
+@query(_structs("CAST([] AS STRUCT(n BIGINT, t BIGINT, k VARCHAR)[])", f"CASE WHEN {_HELD} THEN list_transform(held, lambda x: CASE WHEN x.k = key THEN {{'n': x.n + 1, 't': a.nr, 'k': x.k}} ELSE x END) WHEN len(held) >= {SIZE} THEN list_append(list_sort(held)[2:], {_NEW_LFU}) ELSE list_append(held, {_NEW_LFU}) END", "list_transform(list_sort(list_transform(held, lambda x: {'t': x.t, 'k': x.k})), lambda x: x.k)"))
 def lfu_replay(spark, d):
     return eviction.replayed(_accesses(spark, d), "LFU", SIZE)
 
 
-@query()
+_SPARED = "list_position(list_transform(held, lambda x: x.f), 0)"
+_CLEARED = "lambda x: {'k': x.k, 'f': 0}"
+
+
+@query(_structs("CAST([] AS STRUCT(k VARCHAR, f INTEGER)[])", f"CASE WHEN {_HELD} THEN list_transform(held, lambda x: CASE WHEN x.k = key THEN {{'k': x.k, 'f': 1}} ELSE x END) WHEN len(held) < {SIZE} THEN list_append(held, {{'k': key, 'f': 0}}) WHEN coalesce({_SPARED}, 0) = 0 THEN list_append(list_transform(held[2:], {_CLEARED}), {{'k': key, 'f': 0}}) ELSE list_append(list_concat(held[{_SPARED} + 1:], list_transform(held[1:{_SPARED} - 1], {_CLEARED})), {{'k': key, 'f': 0}}) END", "list_transform(held, lambda x: x.k)"))
 def clock_replay(spark, d):
     return eviction.replayed(_accesses(spark, d), "CLOCK", SIZE)
 
