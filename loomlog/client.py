@@ -62,7 +62,9 @@ class Store:
         refused = F.lit(False) if limit is None else F.octet_length("key") > limit
         first = ENGINES[self.engine] == "first"
         asked = ops.where(~refused)
-        had = self.state.select("key", F.col("value").alias("before"))
+        keys = asked.select("key").distinct()
+        # the keys of a small batch travel to the state, which then isn't shuffled
+        had = self.state.join(keys, "key", "left_semi").select("key", F.col("value").alias("before"))
         last = asked.join(had, "key", "left")
         # a key's operations meet in one row, in order; they are few in a batch
         steps = last.groupBy("key", "before").agg(F.array_sort(F.collect_list(F.struct("pos", "op", "value"))).alias("ops"))
@@ -75,7 +77,7 @@ class Store:
             return F.struct(value.alias("value"), F.concat(state["done"], F.array(F.struct(o["pos"].alias("pos"), status.alias("status")))).alias("done"))
 
         ran = steps.select("key", F.aggregate("ops", zero, step).alias("end"))
-        untouched = self.state.join(asked.select("key").distinct(), "key", "left_anti")
+        untouched = self.state.join(keys, "key", "left_anti")
         self.state = untouched.unionByName(ran.select("key", F.col("end.value").alias("value")).where("value IS NOT NULL"))
         done = ran.select("key", F.inline("end.done")).select("key", "pos", "status")
         return done.unionByName(ops.where(refused).select("key", "pos", F.lit("refused").alias("status")))
