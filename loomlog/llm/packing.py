@@ -43,7 +43,7 @@ LARGE = (1 / 4, 1 / 2, 1)
 #: Number of groups of large pieces.
 GROUPS = 64
 #: Chunks that a worker remembers; beyond it starts anew, which changes no result.
-CACHE = 800_000
+CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
