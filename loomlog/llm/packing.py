@@ -25,13 +25,17 @@ empty table gives an empty result. Very long texts are tokenised whole, then cut
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +46,10 @@ CAPACITY = 2048
 LARGE = (1 / 4, 1 / 2, 1)
 #: Number of groups of large pieces.
 GROUPS = 64
-#: Chunks that a worker remembers; beyond it starts anew, which changes no result.
+#: Chunks that a worker remembers in both generations, besides those of the batch at hand; it changes no result.
 CACHE = 400_000
+#: What may stand behind a word's letters as a word of its own.
+MARKS = string.punctuation
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -56,24 +62,39 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Ids:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and its words don't cross it, so ids of stretches between spaces
-    concatenate to those of the text; stretches are remembered.
+    The tokenizer drops white space and its words don't cross it, so ids of stretches between spaces concatenate to
+    those of the text. Of a batch of texts each distinct stretch is looked up once. Words and the marks behind them
+    are remembered in two generations; what the older one alone holds goes when the newer one is full.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    @staticmethod
-    def split(part: str) -> tuple[str, str]:
-        """Letters (lower-cased if ASCII, as the tokenizer does) and a mark behind them have ids of their own."""
-        word, mark = (part[:-1], part[-1]) if part[-1:] in (".", ",") and part[:-1].isalpha() else (part, "")
-        return word.lower() if word.isascii() and word.isalpha() else word, mark
+    def stays_letter(self, letter: str) -> bool:
+        """Whether a mark behind the letter is a word of its own: not if its normal form ends with a combining mark, or
+        the tokenizer doesn't take it for a letter."""
+        if letter not in self.letters:
+            normal = self.tokenizer.normalizer.normalize_str(letter + ".")
+            self.letters[letter] = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)[-1][0] == "."
+        return self.letters[letter]
+
+    def split(self, part: str) -> tuple[str, str]:
+        """Letters (lower-cased if ASCII, as the tokenizer does) and marks behind them have ids of their own."""
+        if part.isalpha():
+            return part.lower() if part.isascii() else part, ""
+        word = part.rstrip(MARKS)
+        if not word.isalpha() or not (word.isascii() or self.stays_letter(word[-1])):
+            return part, ""
+        return word.lower() if word.isascii() else word, part[len(word) :]
 
     def learn_words(self, words: list[str]) -> None:
         """Ids of words of letters alone, encoded together: each ends with its one token that ends a word."""
@@ -87,23 +108,32 @@ class Ids:
                     self.known[w] = raw[at:end]
                     at = end
 
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(self.known) > CACHE:
-            self.known.clear()
-        forms = {p: self.split(p) for p in parts if p not in self.known}
-        missing = {x for pair in forms.values() for x in pair if x not in self.known}
-        words = [x for x in missing if x.isalpha()]
-        self.learn_words(words)
+    def learn(self, chunks: set[str]) -> None:
+        """Makes sure that all chunks are known."""
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        missing = chunks.difference(self.known)
+        self.known |= {x: self.older[x] for x in missing if x in self.older}
+        missing.difference_update(self.known)
+        self.learn_words([x for x in missing if x.isalpha()])
         rest = list(missing.difference(self.known))
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        self.known |= {p: self.known[a] + self.known[b] for p, (a, b) in forms.items()}
-        return b"".join([self.known[p] for p in parts])
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[x] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; a null has none."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, marks = [], []
+        for part in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
+            word, mark = self.split(part)
+            words.append(word)
+            marks.append(mark)
+        self.learn(set(words).union(marks))
+        raw = list(map(add, map(self.known.__getitem__, words), map(self.known.__getitem__, marks)))
+        index, ends = coded.indices.to_numpy(), parts.offsets.to_pylist()
+        for at, end in pairwise(ends):
+            yield b"".join([raw[i] for i in index[at:end].tolist()])
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -115,8 +145,8 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         step = 4 * capacity
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = ids(text.as_py() or "") + last
+            for doc, raw in zip(batch.column(0).to_pylist(), ids(batch.column(1)), strict=True):
+                raw += last
                 for k, at in enumerate(range(0, len(raw), step)):
                     rows.append((doc, k, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step])))
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]

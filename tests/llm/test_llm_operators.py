@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomlog.llm import chat, decontaminate, html_extract, minhash, packing, quality, secret_scan, substring_dedup, url_filter, warc, words
@@ -93,6 +95,44 @@ def test_packing_places_all_pieces(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_marks_behind_letters(spark):
+    """Letters whose normal form ends with a combining mark, which takes the marks behind it into its own word."""
+    from tokenizers import Tokenizer
+
+    rows = list(enumerate(["AB\u0130. x", "\u0915\u095c, \u0915\u095c", "\u05d0\ufb2a.", "Word,%%% (word) \u00e9t\u00e9... 'tis word's' <|endoftext|>, <|EndOfText|>"]))
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(rows, DOCS)).collect()}
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    for doc, text in rows:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert (got[doc].length, got[doc].ids_crc32) == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))), text
+
+
+def test_packing_encodes_each_word_once(monkeypatch):
+    """Once for a batch, not for each text and each mark behind it; a word in use outlives a full memory."""
+    ids, sent = packing.Ids(packing.tokenizer_path()), []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.append([w for t in texts for w in t.split()])
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    plain, ids.tokenizer = ids.tokenizer, Counting(ids.tokenizer)
+    monkeypatch.setattr(packing, "CACHE", 4)
+    for letter in "abc":
+        texts = [f"The {mark}{letter * k}{mark}\n{letter * k}{mark} the" for k in range(3, 40) for mark in ("", ",", "%%%")] + [None, ""]
+        got = list(ids(pa.array(texts)))
+        assert got == [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        words = [w for call in sent for w in call]
+        assert len(sent) <= 2 and len(words) == len(set(words)) and ("the" in words) == (letter == "a")
+        sent.clear()
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plans_are_whole_and_tight(seed):
     rng = random.Random(seed)
