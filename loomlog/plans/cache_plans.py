@@ -108,7 +108,7 @@ def _keys(spark, d):
 
 @query(_test(STANDARD))
 def bloom_filter(spark, d):
-    return bloom.may_contain(orders_state(spark, d).select("key"), bloom.build(_added(spark, d), BITS, HASHES), BITS, HASHES)
+    return bloom.may_contain(_keys(spark, d), bloom.build(_added(spark, d), BITS, HASHES), BITS, HASHES)
 
 
 @query(_test(BLOCKED))
