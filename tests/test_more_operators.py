@@ -349,3 +349,14 @@ def test_bloom_both_ways_of_asking(spark, monkeypatch, blocked, block_bits):
                 m.setattr(bloom, "LOCAL_BITS", most)
                 found = bloom.may_contain(keys, made, bits, hashes, blocked, block_bits).collect()
             assert sorted((str(r.key), r.maybe) for r in found) == wanted
+
+
+def test_bloom_register_counts_every_row(spark, oracle, tmp_path):
+    """Repeated and null keys are rows of the state that are asked for too."""
+    from loomlog.plans.registry import QUERIES
+
+    orders = spark.createDataFrame([(5, "a"), (5, "b"), (2000, "c"), (None, "d")], "o_orderkey long, o_orderpriority string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("bloom_register", "bloom_scalable"):
+        row = QUERIES[name].run(spark, str(tmp_path)).first()
+        assert row.asked == 4 and row.none_lost
