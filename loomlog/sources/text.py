@@ -8,6 +8,7 @@ import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Verbs of the line protocol, an engine's letter before them or not, and the most words of a line.
 VERBS = ("SET", "GET", "DEL", "MOD", "COUNT", "EXISTS")
@@ -100,18 +101,45 @@ def generated(spark: SparkSession, rows: int, seed: int = 0, keys: int | None =
     return at.select(key.alias("key"), value.alias("value"))
 
 
+#: Lines are cut into up to 2 ** CUTS ranges; a task gets about so many lines.
+CUTS, LINES = 10, 200_000
+
+
+def pieces(lines: DataFrame, nr: str) -> tuple[DataFrame, int]:
+    """lines with piece: which of 2 ** CUTS ranges nr lies in, between quantiles of all lines; and the number of tasks for so many lines.
+    A row's piece depends on its nr alone. An nr that isn't a number or a time has no quantiles; those lines are all in piece 0."""
+    cuts = isinstance(lines.schema[nr].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    found = lines.agg(F.count("*").alias("n"), *([F.percentile_approx(nr, [i / 2**CUTS for i in range(1, 2**CUTS)]).alias("edges")] if cuts else []))
+    known = found.first()
+    tasks = max(1, -(-known["n"] // LINES))
+    out = lines.withColumn("piece", F.lit(0))
+    if not cuts:
+        return out, tasks
+    edges = lines.sparkSession.createDataFrame([(known["edges"],)], T.StructType([found.schema["edges"]]))
+    out = out.crossJoin(F.broadcast(edges))  # one row
+    for step in (2**i for i in reversed(range(CUTS))):  # a binary search
+        out = out.withColumn("piece", F.col("piece") + F.when(F.get("edges", F.col("piece") + (step - 1)) <= F.col(nr), step).otherwise(0))
+    return out.drop("edges"), tasks
+
+
 def server_sent_events(lines: DataFrame, nr: str = "nr", line: str = "value") -> DataFrame:
-    """id, event, data of a stream of lines (stream, nr, value) as servers send them: an empty line ends an event; several data lines
-    are joined by line breaks; lines that begin with a colon are comments. Each stream is read in order."""
-    before = Window.partitionBy("stream").orderBy(nr).rowsBetween(Window.unboundedPreceding, -1)
-    parts = lines.withColumn("block", F.coalesce(F.sum((F.col(line) == "").cast("long")).over(before), F.lit(0)))
+    """stream, id, event, data of streams of lines (stream, nr, value) as servers send them: an empty line ends an event; several data
+    lines are joined by line breaks; lines that begin with a colon are comments. Each stream is read in order, in pieces: a line's block
+    is the number of empty lines in the pieces before its own and before it in its own."""
+    cut, tasks = pieces(lines.select(F.struct("stream").alias("of"), nr, line), nr)  # a struct, so that a null stream is one too
+    ending = (F.col(line) == "").cast("long")
+    every = Window.partitionBy("of")
+    sums = cut.groupBy("of", "piece").agg(F.coalesce(F.sum(ending), F.lit(0)).alias("n"))  # a row a piece
+    sums = sums.select("of", "piece", F.coalesce(F.sum("n").over(every.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("n").over(every).alias("ends"))
+    within = Window.partitionBy("of", "piece").orderBy(nr).rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.repartition(tasks, "of", "piece").withColumn("inside", F.coalesce(F.sum(ending).over(within), F.lit(0))).join(sums.repartition(tasks, "of", "piece"), ["of", "piece"])  # dealt out alike, or the lines would go by stream
     field = F.regexp_extract(line, r"^([^:]*)", 1)
     rest = F.regexp_replace(F.col(line), r"^[^:]*:? ?", "")
-    named = parts.where(F.col(line) != "").select("stream", "block", nr, field.alias("field"), rest.alias("rest")).where("field <> ''")
-    ends = parts.where(F.col(line) == "").select("stream", "block").distinct()
+    ended = parts.withColumn("block", F.col("earlier") + F.col("inside")).where((F.col(line) != "") & (F.col("block") < F.col("ends")))
+    named = ended.select("of", "block", nr, field.alias("field"), rest.alias("rest")).where("field <> ''")
     one = lambda name: F.max_by(F.when(F.col("field") == name, F.col("rest")), F.when(F.col("field") == name, F.col(nr)))
     data = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == "data", F.struct(nr, "rest")))), lambda x: x["rest"]), "\n")
-    return named.join(ends, ["stream", "block"], "left_semi").groupBy("stream", "block").agg(one("id").alias("id"), F.coalesce(one("event"), F.lit("message")).alias("event"), data.alias("data"), F.count_if(F.col("field") == "data").alias("n")).where("n > 0").select("stream", "id", "event", "data")
+    return named.repartition(tasks, "of", "block").groupBy("of", "block").agg(one("id").alias("id"), F.coalesce(one("event"), F.lit("message")).alias("event"), data.alias("data"), F.count_if(F.col("field") == "data").alias("n")).where("n > 0").select("of.stream", "id", "event", "data")
 
 
 def load_document(samples: DataFrame, time: str, order: str, k: int) -> DataFrame:

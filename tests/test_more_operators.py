@@ -360,3 +360,40 @@ def test_bloom_register_counts_every_row(spark, oracle, tmp_path):
     for name in ("bloom_register", "bloom_scalable"):
         row = QUERIES[name].run(spark, str(tmp_path)).first()
         assert row.asked == 4 and row.none_lost
+
+
+def test_server_sent_events_in_pieces(spark):
+    """Blocks that span pieces, empty blocks, comments, unended tails, a null stream: as a reader of each stream has them."""
+    rng = random.Random(4)
+    rows, wanted = [], []
+    for stream in ("x", "y", None):
+        seen, at = [], 0
+        for i in range(3000):
+            at += rng.choice((1, 1, 7))
+            seen.append((at, rng.choice(("", "", "data:a", "data: b", "data: ", ": c", f"id: {i}", "event:e", "data", "retry: 3"))))
+        rows += [(stream, *line) for line in seen]
+        event = {}
+        for _, line in seen:
+            if line == "":
+                if "data" in event:
+                    wanted.append((stream, event.get("id"), event.get("event", "message"), "\n".join(event["data"])))
+                event = {}
+            elif not line.startswith(":"):
+                name, _, rest = line.partition(":")
+                rest = rest.removeprefix(" ")
+                if name == "data":
+                    event.setdefault("data", []).append(rest)
+                else:
+                    event[name] = rest
+    rng.shuffle(rows)
+    for cast in ("long", "timestamp", "string"):
+        nr = F.lpad(F.col("nr").cast("string"), 9, "0") if cast == "string" else F.col("nr").cast(cast)
+        lines = spark.createDataFrame(rows, "stream string, nr long, value string").withColumn("nr", nr)
+        assert Counter(map(tuple, text.server_sent_events(lines).collect())) == Counter(wanted)
+    assert text.server_sent_events(lines.where("false")).count() == 0
+
+
+def test_server_sent_events_of_one_stream_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(text, "LINES", 1000, raising=False)
+    lines = spark.range(0, 20000, 1, 4).select(F.concat(F.lit("x"), F.col("id") % 1).alias("stream"), F.col("id").alias("nr"), F.when(F.col("id") % 2 == 0, "data: a").otherwise("").alias("value"))
+    assert most_rows_read(spark, text.server_sent_events(lines)) < 10000
